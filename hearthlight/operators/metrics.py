@@ -235,45 +235,64 @@ def global_agreement(confusion: DataFrame) -> DataFrame:
 
 # --- exact quantile ------------------------------------------------------------------------
 
+_RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+def _bin(low, width, bins: int) -> Column:
+    place = F.floor((F.col("value") - low) / width)
+    return F.greatest(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("int")
+
+
+def _locate(rows: DataFrame, q: float, outer: Column | None) -> Column:
+    """Where the wanted ranks fall: first and last bin, rows before them, rank."""
+    counted = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    placed = counted.select(
+        "bin", "n", F.expr(f"sum(n) OVER (ORDER BY bin {_RUNNING})").alias("upto"),
+        F.expr("sum(n) OVER ()").alias("total"),
+    )
+    if outer is None:
+        placed = placed.withColumn("rank", (F.col("total") - 1) * F.lit(q))
+    else:
+        placed = placed.withColumns({
+            "upto": F.col("upto") + outer["before"], "rank": outer["rank"],
+        })
+    wanted = placed.filter(
+        (F.col("upto") >= F.floor("rank") + 1)
+        & (F.col("upto") - F.col("n") < F.ceil("rank") + 1)
+    )
+    return wanted.agg(F.struct(
+        F.min("bin").alias("first"), F.max("bin").alias("last"),
+        F.min(F.col("upto") - F.col("n")).alias("before"), F.first("rank").alias("rank"),
+    ).alias("spot")).scalar()
+
 
 def exact_quantile(df: DataFrame, column: str, q: float, low: float, high: float,
                    bins: int = 4096) -> DataFrame:
     """One row with the linearly interpolated quantile of values in [low, high].
 
     An exact percentile aggregate keeps every distinct value in one task. Here the values are
-    counted in ``bins`` ranges; the two ranks that matter are located there, and only the
-    distinct values of the ranges between them are ordered, after counting equal values. No task
-    handles more than the bin table or one slice of the value range.
+    counted in ``bins`` ranges, the ranges that hold the wanted ranks are split into ``bins``
+    again, and only the distinct values of that last slice are ordered. Equal values are counted
+    first, so a value shared by a third of all rows is one row there.
     """
     width = (high - low) / bins
-    value = F.col(column)
-    bin_no = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    rows = df.select(value.alias("value"), bin_no.alias("bin")).filter("value IS NOT NULL")
-    order = "ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    per_bin = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    placed = per_bin.select(
-        "bin", "n", F.expr(f"sum(n) OVER ({order})").alias("upto"),
-        F.expr("sum(n) OVER ()").alias("total"),
+    rows = df.select(F.col(column).alias("value")).filter("value IS NOT NULL")
+    rows = rows.withColumn("bin", _bin(F.lit(low), F.lit(width), bins))
+    spot = _locate(rows, q, None)
+    fine_low = F.lit(low) + spot["first"] * F.lit(width)
+    fine_width = (spot["last"] - spot["first"] + 1) * F.lit(width) / bins
+    rows = rows.filter(F.col("bin").between(spot["first"], spot["last"])).withColumn(
+        "bin", _bin(fine_low, fine_width, bins)
     )
-    rank = (F.col("total") - 1) * F.lit(q)
-    lo, hi = F.floor(rank) + 1, F.ceil(rank) + 1
-    spot = placed.filter(
-        (F.col("upto") >= lo) & (F.col("upto") - F.col("n") < hi)
-    ).agg(
-        F.min("bin").alias("first"), F.max("bin").alias("last"),
-        F.min(F.col("upto") - F.col("n")).alias("before"),
-        F.first(rank).alias("rank"),
-    )
-    first = spot.select("first").scalar()
-    last = spot.select("last").scalar()
-    near = rows.filter((F.col("bin") >= first) & (F.col("bin") <= last)).groupBy("value").agg(
+    spot = _locate(rows, q, spot)
+    near = rows.filter(F.col("bin").between(spot["first"], spot["last"])).groupBy("value").agg(
         F.count(F.lit(1)).alias("n")
     )
-    span = "ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     ranked = near.select(
-        "value", "n", F.expr(f"sum(n) OVER ({span})").alias("upto"),
-        spot.select("before").scalar().alias("before"), spot.select("rank").scalar().alias("rank"),
-    ).withColumn("upto", F.col("upto") + F.col("before"))
+        "value",
+        (F.expr(f"sum(n) OVER (ORDER BY value {_RUNNING})") + spot["before"]).alias("upto"),
+        spot["rank"].alias("rank"),
+    )
     lower = F.min(F.when(F.col("upto") >= F.floor("rank") + 1, F.col("value")))
     upper = F.min(F.when(F.col("upto") >= F.ceil("rank") + 1, F.col("value")))
     fraction = F.first(F.col("rank") - F.floor("rank"))
