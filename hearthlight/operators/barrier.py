@@ -12,6 +12,10 @@ def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     A filter on a computed column is normally pushed below the projection that computes it, with
     the expression copied into the filter. For rule sets with hundreds of text tests that means
     the work is done twice or more. Filters do not pass a generator, so here they read the value.
+
+    It also keeps planning fast: a pushed-down filter over many computed columns multiplies the
+    constraints the optimizer derives, once per column. Columns that exist are replaced.
     """
     cells = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select("*", F.inline(F.array(cells)))
+    kept = [F.col(name) for name in df.columns if name not in columns]
+    return df.select(*kept, F.inline(F.array(cells)))

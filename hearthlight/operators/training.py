@@ -11,6 +11,7 @@ from hearthlight import labels as L
 from hearthlight import rules as R
 from hearthlight.functions import scores as S
 from hearthlight.functions import text, verdicts
+from hearthlight.operators.barrier import evaluate_once
 from hearthlight.operators.dedup import keep_first, keep_first_hash, top_per_group
 from hearthlight.operators.sampling import SEED, uniform_sample
 
@@ -105,9 +106,10 @@ def labels_from_map(label: Column, mapping: Mapping[str, Mapping[str, float]]) -
 
 def exact_wide(rows: DataFrame, content: str = "text", source: str = "go_emotions") -> DataFrame:
     """External rows that carry one column per label."""
-    cleaned = rows.withColumns({
+    wide = evaluate_once(rows, {
         e: F.coalesce(F.col(e).cast("double"), F.lit(0.0)) for e in L.LABELS
-    }).filter((text.clean_text(content) != "") & (S.plain_sum(L.LABELS) > 0))
+    })
+    cleaned = wide.filter((text.clean_text(content) != "") & (S.plain_sum(L.LABELS) > 0))
     return finalize_external(external_rows(
         cleaned, F.col(content), source, "exact", F.lit("exact"), F.lit(1.0),
         F.lit("multi_label_exact"),
