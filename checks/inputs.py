@@ -310,9 +310,9 @@ def _(v):
     sinks.write_csv(fraud.candidates(v.interactions, STAFF).select(
         "interaction_id", "commenter_name", "heuristic_score", "matched_terms",
         "severity_level"), path)
-    return v.spark.read.csv(path, header=True, escape='"', schema=(
+    return v.spark.read.csv(path, header=True, escape='"', emptyValue="", schema=(
         "interaction_id bigint, commenter_name string, heuristic_score bigint, "
-        "matched_terms string, severity_level string"))
+        "matched_terms string, severity_level string")).fillna("", ["matched_terms"])
 
 
 def snapshot_log(v: Views) -> DataFrame:
