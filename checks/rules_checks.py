@@ -123,7 +123,7 @@ def _(v):
 
 
 @check("d1_severe_candidate", """SELECT interaction_id, severe AS candidate, round(ssum, 12) AS severe_sum,
-  round(savg, 12) AS severe_avg, comps AS severe_components, CAST(scount AS BIGINT) AS severe_component_count,
+  round(savg, 6) AS severe_avg, comps AS severe_components, CAST(scount AS BIGINT) AS severe_component_count,
   round(spike, 12) AS severe_spike, dom AS dominant_emotion, round(dom_score, 12) AS dominant_score,
   flags AS reason_flags, hints AS rare_hints, hits AS support_need_hits FROM detail""", ("detail",))
 def _(v):
@@ -131,20 +131,21 @@ def _(v):
     flat = rows.select("interaction_id", "severe.*")
     return flat.select(
         "interaction_id", "candidate",
-        *[F.round(c, 12).alias(c) for c in ("severe_sum", "severe_avg", "severe_spike", "dominant_score")],
+        *[F.round(c, 12).alias(c) for c in ("severe_sum", "severe_spike", "dominant_score")],
+        F.round("severe_avg", 6).alias("severe_avg"),
         F.col("severe_component_count").cast("bigint"), "dominant_emotion",
         *[piped(c) for c in ("severe_components", "reason_flags", "rare_hints", "support_need_hits")])
 
 
 @check("d2_mild_candidate", """SELECT interaction_id, mild AS candidate, round(CASE WHEN severe THEN ssum ELSE
-  negsum END, 12) AS negative_sum, round(CASE WHEN severe THEN savg ELSE navg END, 12) AS negative_avg,
+  negsum END, 12) AS negative_sum, round(CASE WHEN severe THEN savg ELSE navg END, 6) AS negative_avg,
   CASE WHEN severe THEN comps ELSE neg_comps END AS negative_components,
   CASE WHEN severe THEN dom ELSE neg_dom END AS dominant_emotion FROM detail""", ("detail",))
 def _(v):
     flat = severe_rows(v).select("interaction_id", "mild.*")
     return flat.select(
         "interaction_id", "candidate", F.round("negative_sum", 12).alias("negative_sum"),
-        F.round("negative_avg", 12).alias("negative_avg"), piped("negative_components"),
+        F.round("negative_avg", 6).alias("negative_avg"), piped("negative_components"),
         "dominant_emotion")
 
 
