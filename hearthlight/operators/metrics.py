@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hearthlight import labels as L
 from hearthlight.functions import scores as S
+from hearthlight.operators.barrier import evaluate_once
 
 
 def _add(columns: Sequence[Column]) -> Column:
@@ -276,14 +277,14 @@ def exact_quantile(df: DataFrame, column: str, q: float, low: float, high: float
     first, so a value shared by a third of all rows is one row there.
     """
     width = (high - low) / bins
-    rows = df.select(F.col(column).alias("value")).filter("value IS NOT NULL")
-    rows = rows.withColumn("bin", _bin(F.lit(low), F.lit(width), bins))
+    rows = evaluate_once(df, {"value": F.col(column)}).select("value").filter("value IS NOT NULL")
+    rows = evaluate_once(rows, {"bin": _bin(F.lit(low), F.lit(width), bins)})
     spot = _locate(rows, q, None)
     fine_low = F.lit(low) + spot["first"] * F.lit(width)
     fine_width = (spot["last"] - spot["first"] + 1) * F.lit(width) / bins
-    rows = rows.filter(F.col("bin").between(spot["first"], spot["last"])).withColumn(
-        "bin", _bin(fine_low, fine_width, bins)
-    )
+    rows = evaluate_once(rows.filter(F.col("bin").between(spot["first"], spot["last"])), {
+        "bin": _bin(fine_low, fine_width, bins),
+    })
     spot = _locate(rows, q, spot)
     near = rows.filter(F.col("bin").between(spot["first"], spot["last"])).groupBy("value").agg(
         F.count(F.lit(1)).alias("n")

@@ -23,9 +23,9 @@ def teacher_rows(sample: DataFrame, answers: DataFrame, key: str = "interaction_
                  raw: str = "teacher_raw", thresholds: Mapping[str, float] | None = None,
                  ) -> DataFrame:
     """Left join of teacher answers; adds ``valid``, ``labels`` and the 28 teacher scores."""
-    joined = sample.join(answers.select(key, raw), key, "left").withColumn(
-        "_fields", verdicts.json_fields(verdicts.extract_json(raw))
-    )
+    joined = evaluate_once(sample.join(answers.select(key, raw), key, "left"), {
+        "_fields": verdicts.json_fields(verdicts.extract_json(raw)),
+    })
     valid = F.col("_fields").isNotNull() & ~verdicts.is_error(raw)
     scored = joined.withColumns({
         "valid": F.coalesce(valid, F.lit(False)), **S.from_answer(F.col("_fields")),
