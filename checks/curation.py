@@ -53,7 +53,7 @@ def _sample_sql(total: int) -> str:
     union = " UNION ALL ".join(f"SELECT * FROM {x}" for x in taken)
     parts.append(f"got AS ({union})")
     parts.append("fill AS (SELECT text_hash, 'random_fill' AS sampler_bucket FROM (SELECT *, row_number() OVER (ORDER BY dk, "
-                 f"text_hash) AS rn FROM keyed WHERE true{left()}) WHERE rn <= {total} - (SELECT count(*) FROM got))")
+                 f"text_hash) AS fill_no FROM keyed WHERE true{left()}) WHERE fill_no <= {total} - (SELECT count(*) FROM got))")
     return "WITH " + ", ".join(parts) + " SELECT text_hash, sampler_bucket FROM got UNION ALL SELECT * FROM fill"
 
 
@@ -109,8 +109,8 @@ def _(v):
 both_rows AS (SELECT row_no, h, 'go_emotions_rare' AS source_dataset, 0.55::DOUBLE AS sample_weight, 0 AS r FROM final WHERE
   row_no IN (SELECT row_no FROM picked) UNION ALL SELECT min(row_no), h, 'isear', 0.75::DOUBLE, 1 FROM mapped GROUP BY h),
 known AS (SELECT {O.text_hash('text')} AS h FROM external WHERE label_a < 5),
-kept AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY r, row_no) AS rn FROM both_rows)
-SELECT row_no, h AS text_hash, source_dataset, sample_weight FROM kept WHERE rn = 1 AND h NOT IN (SELECT h FROM known)""",
+chosen AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY r, row_no) AS rn FROM both_rows)
+SELECT row_no, h AS text_hash, source_dataset, sample_weight FROM chosen WHERE rn = 1 AND h NOT IN (SELECT h FROM known)""",
        ("external",))
 def _(v):
     known = v.external.filter("label_a < 5").select(T.text_hash("text").alias("text_hash"))
