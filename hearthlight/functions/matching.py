@@ -9,7 +9,7 @@ occurs in the text exactly when some collected term starts with it.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,6 +36,11 @@ def prefix_tree(terms: Iterable[str]) -> str:
     return f"(?:{body})?" if "" in words else body
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def first_letter_search(terms: Iterable[str], few: int = 3) -> str:
     """Prefix tree whose top level halves the set of first letters with look-aheads.
 
@@ -102,6 +107,23 @@ def literal_start(expr: str) -> str:
     return head[:-1] if follows in ("?", "*") else head
 
 
+def longest_literal(expr: str) -> str:
+    """A literal that every match of a simple pattern must contain."""
+    return max(re.split(r"\[[^\]]*\]\+|.\?", expr.replace(r"\b", "")), key=len)
+
+
+def start_hits(text: Column, patterns: Sequence[str]) -> Column:
+    """Hit list of the literal starts of word-edge patterns."""
+    return hit_list(text, [literal_start(p) for p in patterns], r"(?U)\b")
+
+
+def any_pattern_at(text: Column, hits: Column, patterns: Sequence[str]) -> Column:
+    """``any_pattern`` for word-edge patterns; each one only runs where its start occurs."""
+    return reduce(lambda a, b: a | b, [
+        in_hits(hits, literal_start(p)) & text.rlike(pattern(p)) for p in patterns
+    ])
+
+
 def pattern_hits(text: Column, hits: Column, patterns: Sequence[str]) -> list[Column]:
     """One nullable column per pattern, holding the pattern where it matches.
 

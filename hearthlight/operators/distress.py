@@ -16,7 +16,6 @@ from hearthlight.operators.barrier import evaluate_once
 from hearthlight.operators.fraud import StaffPolicy, drop_staff
 
 _ALL_HINTS = tuple(p for group in R.RARE_HINTS.values() for p in group)
-_STARTS = tuple(dict.fromkeys(M.literal_start(p) for p in (*R.SUPPORT_NEED, *_ALL_HINTS)))
 _STRONG = (
     "severe_sum_high", "severe_hard_guardrail", "support_need_signal",
     "support_need_with_grief_hint", "sadness_above_review_band", "grief_review_band",
@@ -26,45 +25,52 @@ _LOW_SIGNAL = ("fear_review_band", "nervousness_review_band", "embarrassment_rev
 _OVERRIDE_FLAGS = ("support_need_signal", "support_need_with_grief_hint", "severe_sum_high")
 
 
-def _hint(hits: Column, norm: Column, label: str) -> Column:
-    patterns = R.RARE_HINTS[label]
-    return M.any_in_hits(hits, [M.literal_start(p) for p in patterns]) & M.any_pattern(
-        norm, patterns
-    )
-
-
 def hint_labels(normalized, labels=tuple(R.RARE_HINTS)) -> Column:
     """Labels whose hint phrases occur in the normalized text, in the order given."""
-    norm = text.col(normalized)
-    return M.compact([
-        F.when(M.any_pattern(norm, R.RARE_HINTS[label]), F.lit(label)) for label in labels
-    ])
+    def found(norm: Column, hits: Column) -> Column:
+        return M.compact([
+            F.when(M.any_pattern_at(norm, hits, R.RARE_HINTS[label]), F.lit(label))
+            for label in labels
+        ])
+    return _with_hits(text.col(normalized), _ALL_HINTS, found)
+
+
+def _with_hits(value: Column, patterns, body) -> Column:
+    return M.let(value, lambda t: M.let(M.start_hits(t, patterns), lambda h: body(t, h)))
 
 
 def support_hits(normalized) -> Column:
     """Support-need patterns that match the normalized text, in list order."""
-    norm = text.col(normalized)
-    hits = M.hit_list(norm, [M.literal_start(p) for p in R.SUPPORT_NEED], r"(?U)\b")
-    return M.compact(M.pattern_hits(norm, hits, R.SUPPORT_NEED))
+    return _with_hits(text.col(normalized), R.SUPPORT_NEED, lambda norm, hits: M.compact(
+        M.pattern_hits(norm, hits, R.SUPPORT_NEED)))
 
 
 def conflict_signal(cleaned) -> Column:
-    return M.any_pattern(F.lower(text.col(cleaned)), R.CONFLICT)
+    return _with_hits(F.lower(text.col(cleaned)), R.CONFLICT, lambda low, hits: M.any_pattern_at(
+        low, hits, R.CONFLICT))
 
 
 def with_text_signals(df: DataFrame, content: str = "content") -> DataFrame:
     """Text side of the rules: hints, support hits and hardship phrases, one scan per text."""
     low = F.lower(F.coalesce(F.col(content), F.lit("")))
     staged = df.withColumns({"_norm": text.normalize_training_text(content), "_low": low})
-    staged = staged.withColumn("_hits", M.hit_list(F.col("_norm"), _STARTS, r"(?U)\b"))
+    staged = staged.withColumn("_hits", M.start_hits(
+        F.col("_norm"), (*R.SUPPORT_NEED, *_ALL_HINTS)
+    ))
     norm, hits = F.col("_norm"), F.col("_hits")
-    return evaluate_once(staged, {
+    low = F.col("_low")
+    phrases = [M.longest_literal(p) for p in R.HARDSHIP_PHRASES]
+    found = evaluate_once(staged, {
         "rare_hints": M.compact([
-            F.when(_hint(hits, norm, label), F.lit(label)) for label in sorted(R.RARE_HINTS)
+            F.when(M.any_pattern_at(norm, hits, R.RARE_HINTS[label]), F.lit(label))
+            for label in sorted(R.RARE_HINTS)
         ]),
         "support_need_hits": M.compact(M.pattern_hits(norm, hits, R.SUPPORT_NEED)),
-        "_hardship": M.any_pattern(F.col("_low"), R.HARDSHIP_PHRASES),
-        "_context": M.any_pattern(F.col("_low"), R.HARDSHIP_CONTEXT),
+        "_hardship": M.any_term(low, phrases) & M.any_pattern(low, R.HARDSHIP_PHRASES),
+    })
+    # The context patterns only matter beside three support hits.
+    return evaluate_once(found, {
+        "_context": (F.size("support_need_hits") >= 3) & M.any_pattern(low, R.HARDSHIP_CONTEXT),
     }).drop("_norm", "_low", "_hits")
 
 

@@ -46,11 +46,11 @@ def payment_term(term: str, low: Column, hits: Column) -> Column:
     return found
 
 
-def _signals(raw: Column, low: Column, hits: Column) -> dict[str, Column]:
+def _signals(raw: Column, low: Column, hits: Column, digits: Column) -> dict[str, Column]:
     """All text tests of the heuristic; pattern tests run only where a cheap test allows."""
     out = {name: M.any_in_hits(hits, terms) for name, terms in _GROUPS.items()}
     email = F.contains(raw, F.lit("@")) & raw.rlike(M.pattern(R.EMAIL, True))
-    phone = raw.rlike(M.pattern(R.PHONE))
+    phone = digits & raw.rlike(M.pattern(R.PHONE))
     url = F.contains(low, F.lit("://")) & raw.rlike(M.pattern(R.URL, True))
     shortlink = M.any_in_hits(hits, _SHORTLINK_HOSTS) & raw.rlike(M.pattern(R.SHORTLINK, True))
     promo = low.rlike(M.pattern(R.SMS_PROMO)) | (low.rlike(M.pattern(R.SMS_FREE)) & (url | shortlink))
@@ -62,7 +62,7 @@ def _signals(raw: Column, low: Column, hits: Column) -> dict[str, Column]:
         ),
         "pin": M.any_in_hits(hits, R.PIN_TERMS) | F.startswith(low, F.lit("pin")),
         "phone_promo": phone & low.rlike(M.pattern(R.SMS_ACTION)) & promo,
-        "shortcode_promo": low.rlike(M.pattern(R.SHORTCODE))
+        "shortcode_promo": digits & low.rlike(M.pattern(R.SHORTCODE))
         & low.rlike(M.pattern(R.SHORTCODE_ACTION)) & low.rlike(M.pattern(R.SHORTCODE_PROMO)),
         "account_phish": M.any_in_hits(hits, _ACCOUNT_STARTS)
         & low.rlike(M.pattern(R.ACCOUNT_PHRASE))
@@ -112,8 +112,11 @@ def scan(df: DataFrame, content: str = "content") -> DataFrame:
     """Add ``heuristic_score`` INT and ``matched_terms`` ARRAY<STRING>."""
     raw = F.coalesce(F.col(content), F.lit(""))
     staged = df.withColumn("_low", F.lower(raw))
-    staged = staged.withColumn("_hits", M.hit_list(F.col("_low"), SCAN_TERMS))
-    signals = _signals(raw, F.col("_low"), F.col("_hits"))
+    staged = evaluate_once(staged, {
+        "_hits": M.hit_list(F.col("_low"), SCAN_TERMS),
+        "_digits": F.col("_low").rlike(M.pattern(r"\d{3}")),
+    })
+    signals = _signals(raw, F.col("_low"), F.col("_hits"), F.col("_digits"))
     staged = evaluate_once(staged, {"_s": F.struct(*[v.alias(k) for k, v in signals.items()])})
 
     def s(name: str) -> Column:
@@ -129,7 +132,7 @@ def scan(df: DataFrame, content: str = "content") -> DataFrame:
     scored = evaluate_once(
         staged, {"heuristic_score": _score(s), "matched_terms": M.compact(shown)}
     )
-    return scored.drop("_low", "_hits", "_s")
+    return scored.drop("_low", "_hits", "_digits", "_s")
 
 
 def has_shortlink(matched: str = "matched_terms") -> Column:
