@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hearthlight import rules
 from hearthlight.functions.matching import pattern, prefix_tree
+from hearthlight.operators.barrier import evaluate_once
 
 # Unicode white space; Java's plain \s is ASCII only and would miss the no-break space.
 _NON_SPACE = (
@@ -211,11 +212,10 @@ def with_training_text(df: DataFrame, text: str = "content") -> DataFrame:
     Cleaning is not idempotent (an escaped tag becomes a tag), and the hash is taken over the
     text cleaned once more, so both steps are kept as they are.
     """
-    return (
-        df.withColumn(text, clean_text(text))
-        .withColumn("normalized_text", normalize_training_text(text))
-        .withColumns({
-            "text_hash": F.sha2("normalized_text", 256),
-            "char_len": F.length(text),
-        })
-    )
+    cleaned = evaluate_once(df, {text: clean_text(text)})
+    return evaluate_once(cleaned, {
+        "normalized_text": normalize_training_text(text)
+    }).withColumns({
+        "text_hash": F.sha2("normalized_text", 256),
+        "char_len": F.length(text),
+    })

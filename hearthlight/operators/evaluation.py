@@ -11,6 +11,7 @@ from hearthlight import labels as L
 from hearthlight.functions import scores as S
 from hearthlight.functions import text, verdicts
 from hearthlight.operators import fraud
+from hearthlight.operators.barrier import evaluate_once
 from hearthlight.operators.dedup import keep_first
 from hearthlight.operators.distress import severe_details
 from hearthlight.operators.sampling import SEED, uniform_sample
@@ -38,7 +39,7 @@ def benchmark_rows(items: DataFrame, flagged: DataFrame | None = None, key: str
 
 def evaluation_pool(df: DataFrame, size: int, seed: int = SEED) -> DataFrame:
     """Clean, viable, distinct texts, sampled."""
-    cleaned = df.withColumn("content", text.clean_text("content")).filter(
+    cleaned = evaluate_once(df, {"content": text.clean_text("content")}).filter(
         text.is_viable_training_text("content")
     )
     return uniform_sample(keep_first(cleaned, ["content"], ["interaction_id"]), size,
