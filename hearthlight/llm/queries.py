@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hearthlight.llm import sql
 from hearthlight.llm.common import table
 from hearthlight.llm.exact import exact_duplicates
+from hearthlight.llm.mixing import mix
 from hearthlight.llm.urls import judge_urls
 
 
@@ -20,7 +21,13 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"))
 
 
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents")).documents.drop("copy")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_exact_dedup, op8_url_filter)
+    f.__name__: f for f in (
+        op4_exact_dedup, op8_url_filter, op10_mixing,
+    )
 }
 ORACLES: dict[str, str] = {"op4_exact_dedup": sql.EXACT_DEDUP}
