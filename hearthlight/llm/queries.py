@@ -10,7 +10,10 @@ from hearthlight.llm import sql
 from hearthlight.llm.common import table
 from hearthlight.llm.exact import exact_duplicates
 from hearthlight.llm.mixing import mix
+from hearthlight.llm.packing import pack
+from hearthlight.llm.tokenfile import read_tokens, write_tokens
 from hearthlight.llm.urls import judge_urls
+from hearthlight.session import new_folder
 
 
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,9 +28,20 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).documents.drop("copy")
 
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"))
+
+
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    out = new_folder(spark, "tokens")
+    write_tokens(table(spark, folder, "documents"), out)
+    return read_tokens(spark, out).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op4_exact_dedup, op8_url_filter, op10_mixing,
+        op4_exact_dedup, op7_packing, op8_url_filter, op9_token_files,
+        op10_mixing,
     )
 }
 ORACLES: dict[str, str] = {"op4_exact_dedup": sql.EXACT_DEDUP}
