@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hearthlight.llm import sql
 from hearthlight.llm.common import table
 from hearthlight.llm.exact import exact_duplicates
+from hearthlight.llm.fingerprints import edited_fingerprints
 from hearthlight.llm.mixing import mix
 from hearthlight.llm.packing import pack
 from hearthlight.llm.tokenfile import read_tokens, write_tokens
@@ -38,9 +39,13 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(spark, out).drop("ids")
 
 
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return edited_fingerprints(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op4_exact_dedup, op7_packing, op8_url_filter, op9_token_files,
+        op4_exact_dedup, op6_fingerprints, op7_packing, op8_url_filter, op9_token_files,
         op10_mixing,
     )
 }
