@@ -11,12 +11,17 @@ from hearthlight.llm.common import table
 from hearthlight.llm.exact import exact_duplicates
 from hearthlight.llm.fingerprints import edited_fingerprints
 from hearthlight.llm.mixing import mix
+from hearthlight.llm.near import near_duplicates
 from hearthlight.llm.packing import pack
 from hearthlight.llm.tokenfile import read_tokens, write_tokens
 from hearthlight.llm.urls import judge_urls
 from hearthlight.session import new_folder
 
 
+def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
@@ -45,7 +50,7 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op4_exact_dedup, op6_fingerprints, op7_packing, op8_url_filter, op9_token_files,
+        op2_minhash, op4_exact_dedup, op6_fingerprints, op7_packing, op8_url_filter, op9_token_files,
         op10_mixing,
     )
 }
