@@ -14,6 +14,7 @@ from hearthlight.llm.mixing import mix
 from hearthlight.llm.near import near_duplicates
 from hearthlight.llm.packing import pack
 from hearthlight.llm.tokenfile import read_tokens, write_tokens
+from hearthlight.llm.toxicity import score_documents
 from hearthlight.llm.urls import judge_urls
 from hearthlight.session import new_folder
 
@@ -22,6 +23,10 @@ def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
@@ -50,7 +55,7 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_minhash, op4_exact_dedup, op6_fingerprints, op7_packing, op8_url_filter, op9_token_files,
+        op2_minhash, op3_toxicity, op4_exact_dedup, op6_fingerprints, op7_packing, op8_url_filter, op9_token_files,
         op10_mixing,
     )
 }
