@@ -13,6 +13,7 @@ from hearthlight.llm.fingerprints import edited_fingerprints
 from hearthlight.llm.mixing import mix
 from hearthlight.llm.near import near_duplicates
 from hearthlight.llm.packing import pack
+from hearthlight.llm.substrings import remove_repeats
 from hearthlight.llm.tokenfile import read_tokens, write_tokens
 from hearthlight.llm.toxicity import score_documents
 from hearthlight.llm.urls import judge_urls
@@ -49,13 +50,17 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(spark, out).drop("ids")
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents")).drop("kept_text")
+
+
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edited_fingerprints(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_minhash, op3_toxicity, op4_exact_dedup, op6_fingerprints, op7_packing, op8_url_filter, op9_token_files,
+        op2_minhash, op3_toxicity, op4_exact_dedup, op5_substring_dedup, op6_fingerprints, op7_packing, op8_url_filter, op9_token_files,
         op10_mixing,
     )
 }
