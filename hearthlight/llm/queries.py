@@ -13,6 +13,7 @@ from hearthlight.llm.fingerprints import edited_fingerprints
 from hearthlight.llm.mixing import mix
 from hearthlight.llm.near import near_duplicates
 from hearthlight.llm.packing import pack
+from hearthlight.llm.pii import find_pii
 from hearthlight.llm.substrings import remove_repeats
 from hearthlight.llm.tokenfile import read_tokens, write_tokens
 from hearthlight.llm.toxicity import score_documents
@@ -20,6 +21,10 @@ from hearthlight.llm.urls import judge_urls
 from hearthlight.session import new_folder
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return find_pii(table(spark, folder, "documents"))
+
+
 def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -60,7 +65,7 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_minhash, op3_toxicity, op4_exact_dedup, op5_substring_dedup, op6_fingerprints, op7_packing, op8_url_filter, op9_token_files,
+        op1_pii, op2_minhash, op3_toxicity, op4_exact_dedup, op5_substring_dedup, op6_fingerprints, op7_packing, op8_url_filter, op9_token_files,
         op10_mixing,
     )
 }
