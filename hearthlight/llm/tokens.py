@@ -9,13 +9,6 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-#: A space next to other white space: such texts are encoded whole.
-_JOINED = re.compile(r"\s | \s")
-#: Pieces remembered per worker, and the longest piece worth remembering.
-_REMEMBER, _LONGEST = 200_000, 48
-#: Texts encoded at a time.
-STEP = 256
-
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -23,35 +16,69 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: A space next to other white space: such texts are encoded whole.
+_JOINED = re.compile(r"\s | \s")
+_JOINED_ASCII = tuple(y for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f " for y in (c + " ", " " + c))
+#: Pieces remembered per worker before it starts anew.
+_REMEMBER = 1_200_000
+#: Texts encoded at a time, and new pieces at a time.
+STEP, PIECES = 256, 2000
+
+
+def _joined(text: str) -> bool:
+    if text.isascii():
+        return any(x in text for x in _JOINED_ASCII)
+    return bool(_JOINED.search(text))
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     Byte-level tokenizers start a new piece at every single space between two other characters,
     whatever stands before it, so a text is the sum of its parts cut there, and a part that was
-    seen before need not be encoded again.
+    seen before need not be encoded again. Parts not seen yet are encoded many at a time as one
+    text; the tokens that begin with the space tell where each of them starts.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, pieces: list[str]) -> None:
+        ids = self._ids(" " + " ".join(pieces))
+        cuts = (4 * np.flatnonzero(self.opens[ids])).tolist()
+        if len(cuts) != len(pieces):
+            raise ValueError("the tokenizer does not start pieces at spaces")
+        raw = ids.tobytes()
+        cuts.append(len(raw))
+        self.known.update(zip(pieces, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))  # noqa: B905
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > _REMEMBER:
             self.known.clear()
-        parts = [None if _JOINED.search(t) else t.split(" ") for t in texts]
-        whole = [t if p is None else p[0] for t, p in zip(texts, parts, strict=True)]
-        later = [[] if p is None else p[1:] for p in parts]
+        parts = [None if _joined(t) else t.split(" ") for t in texts]
         known = self.known
-        new = list({x for p in later for x in p if x not in known})
-        ids = self._encode(whole + [" " + x for x in new])
-        fresh = dict(zip(new, ids[len(whole):], strict=True))
-        known.update((k, v) for k, v in fresh.items() if len(k) <= _LONGEST)
-        get = lambda x: known[x] if x in known else fresh[x]
-        return [first + b"".join(map(get, p)) for first, p in zip(ids, later)]  # noqa: B905
+        seen: set[str] = set()
+        for p in parts:
+            if p is not None:
+                seen.update(p[1:])
+        new = list(seen.difference(known))
+        for at in range(0, len(new), PIECES):
+            self._learn(new[at:at + PIECES])
+        get = known.__getitem__
+        opening = self.tokenizer.encode_batch_fast(
+            [text if p is None else p[0] for text, p in zip(texts, parts, strict=True)], add_special_tokens=False
+        )
+        return [
+            np.asarray(first.ids, "<u4").tobytes() + (b"" if p is None else b"".join(map(get, p[1:])))
+            for first, p in zip(opening, parts, strict=True)
+        ]
 
 
 @lru_cache(maxsize=1)
