@@ -101,7 +101,7 @@ def taught(v):
 
 
 def pairs(v):
-    pool = evaluation.evaluation_pool(v.interactions, 2_000_000_000)
+    pool = evaluation.evaluation_pool(v.interactions)
     return evaluation.score_pairs(pool, v.scores, taught(v))
 
 

@@ -30,21 +30,18 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, n: int,
                   salt_on: str) -> DataFrame:
     """First ``n`` rows per group in ``order``.
 
-    Small ``n`` is limited before the shuffle by Spark. Above its threshold the group is ranked
-    in ``SALTS`` slices first: the global first n rows are among the first n of their slice, so
-    the result is exact while no task sees a whole hot group.
+    The group is ranked in ``SALTS`` slices first: the global first n rows are among the first n
+    of their slice, so the result is exact, and the last ranking of a group reads at most
+    ``SALTS`` times n rows, however hot the group is and however many map tasks hold it.
     """
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     order = _order(order)
 
     def ranked(frame: DataFrame, by: Sequence) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         return frame.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
-    if n > limit:
-        salt = F.pmod(F.xxhash64(F.col(salt_on)), F.lit(SALTS)).alias("_salt")
-        df = ranked(df.select("*", salt), [*keys, "_salt"]).drop("_salt")
-    return ranked(df, keys)
+    salt = F.pmod(F.xxhash64(F.col(salt_on)), F.lit(SALTS)).alias("_salt")
+    return ranked(ranked(df.select("*", salt), [*keys, "_salt"]).drop("_salt"), keys)
 
 
 def keep_first_hash(df: DataFrame, order: Sequence, key: str = "text_hash") -> DataFrame:

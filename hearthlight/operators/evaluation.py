@@ -37,13 +37,13 @@ def benchmark_rows(items: DataFrame, flagged: DataFrame | None = None, key: str
 # --- model agreement --------------------------------------------------------------------------
 
 
-def evaluation_pool(df: DataFrame, size: int, seed: int = SEED) -> DataFrame:
-    """Clean, viable, distinct texts, sampled."""
+def evaluation_pool(df: DataFrame, size: int | None = None, seed: int = SEED) -> DataFrame:
+    """Clean, viable, distinct texts; a sample of ``size``, or all of them."""
     cleaned = evaluate_once(df, {"content": text.clean_text("content")}).filter(
         text.is_viable_training_text("content")
     )
-    return uniform_sample(keep_first(cleaned, ["content"], ["interaction_id"]), size,
-                          "interaction_id", seed)
+    pool = keep_first(cleaned, [F.sha2("content", 256)], ["interaction_id"])
+    return pool if size is None else uniform_sample(pool, size, "interaction_id", seed)
 
 
 def score_pairs(pool: DataFrame, student: DataFrame, teacher: DataFrame) -> DataFrame:
@@ -190,7 +190,8 @@ def miss_stats(audited: DataFrame) -> DataFrame:
 
 
 def first_feedback(log: DataFrame) -> DataFrame:
-    return keep_first(log, ["flag_index"], ["ts"])
+    """The earliest verdict per flag; of equal times the lesser verdict."""
+    return keep_first(log, ["flag_index"], ["ts", "verdict"])
 
 
 def with_feedback(flags: DataFrame, log: DataFrame, key: str = "interaction_id") -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,20 +26,44 @@ def builder(app: str = "hearthlight") -> SparkSession.Builder:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local folder only where none is named."""
+    """The cluster's shared checkpoint folder, from ``spark.checkpoint.dir``.
+
+    Where none is named, only a session in one process may go on: it gets a folder in its
+    warehouse, removed when Python ends. Executors elsewhere would not see each other's files.
+    """
     context = spark.sparkContext
     named = (
         spark.conf.get("spark.checkpoint.dir", None)
         or context.getConf().get("spark.checkpoint.dir", None)
     )
     current = context._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hearthlight-"))
+    if named is None and current.isEmpty():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+        own = f"{warehouse.rstrip('/')}/_stages-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
+    elif current.isEmpty():
+        context.setCheckpointDir(named)
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path for rows that are staged between jobs; ``remove_stages`` deletes them."""
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove_stages(spark: SparkSession) -> None:
+    """Delete all staged rows of this process; frames that read them end with it."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

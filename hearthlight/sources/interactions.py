@@ -25,7 +25,7 @@ def _posts(raw: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     rows = _range(raw, "forum_created_at", start, end).filter(F.col("forum_content").isNotNull())
     first = keep_first(
         rows.withColumn("_week", weeks.monday_of("forum_created_at")),
-        ["_week", "forum_title", "forum_content"],
+        ["_week", F.sha2("forum_title", 256), F.sha2("forum_content", 256)],
         ["forum_created_at", "interaction_id"],
     )
     return first.select(

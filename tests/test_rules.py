@@ -162,9 +162,3 @@ def test_ties_go_to_the_first_label(spark):
     row = scored(spark, [(1, "", {"fear": 0.5, "anger": 0.5})]).select(
         S.dominant().alias("all"), S.dominant(L.SERIOUS).alias("serious")).first()
     assert (row.all, row.serious) == ("anger", "anger")
-
-
-def test_threshold_map():
-    out = S.threshold_map({"joy": "bad", "fear": 2, "grief": -1, "other": 0.5})
-    assert out["joy"] == 0.40 and out["fear"] == 0.95 and out["grief"] == 0.01
-    assert set(out) == set(L.LABELS)
