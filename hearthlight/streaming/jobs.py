@@ -19,40 +19,38 @@ def flag_stream(interactions: DataFrame, staff: fraud.StaffPolicy = fraud.StaffP
     return fraud.candidates(interactions, staff)
 
 
-def weekly_health_stream(scored: DataFrame, ts: str = "activity_date", late: str = "7 days"
-                         ) -> DataFrame:
-    """Running mean profile and health per ISO week.
-
-    Windows start on Monday: the four-day offset moves the default Thursday start. Rows later
-    than the watermark are dropped with the state of their week.
-    """
-    week = F.window(ts, "7 days", "7 days", "4 days")
-    sums = scored.withWatermark(ts, late).groupBy(week).agg(
+def weekly_sums(scored: DataFrame, ts: str = "activity_date") -> DataFrame:
+    """Rows and label sums per week (its Monday), to be added up later."""
+    return scored.groupBy(weeks.monday_of(ts).alias("monday")).agg(
         F.count(F.lit(1)).alias("interactions"),
-        *[F.avg(label).alias(label) for label in L.LABELS],
-    )
-    return sums.select(
-        F.col("window.start").cast("date").alias("monday"),
-        weeks.week_key(F.col("window.start")).alias("week_key"), "interactions",
-        health_score().alias("health_score"),
+        *[F.sum(label).alias(f"sum_{label}") for label in L.LABELS],
+        *[F.count(label).alias(f"n_{label}") for label in L.LABELS],
     )
 
 
-def upsert_weekly(health: DataFrame, path: str) -> DataStreamWriter:
-    """Append each update to a log with its batch number; the newest batch wins per week.
+def log_weekly(scored: DataFrame, path: str, ts: str = "activity_date") -> DataStreamWriter:
+    """Append each batch's sums per week to a log.
 
-    Rewriting a batch after a failure replaces only that batch's folder, so a retry leaves no
-    duplicates.
+    Weeks are added up by the reader, so rows may come in any order and as late as they like:
+    there is no state to expire and no watermark to drop rows. Rewriting a batch after a failure
+    replaces only that batch's folder, so a retry leaves no duplicates.
     """
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(
-            f"{path}/batch={number}")
+        weekly_sums(batch, ts).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return health.writeStream.outputMode("update").foreachBatch(write)
+    return scored.writeStream.outputMode("append").foreachBatch(write)
 
 
 def read_weekly(log: DataFrame) -> DataFrame:
-    return keep_first(log, ["week_key"], [F.desc("batch")])
+    """Mean profile and health per ISO week over all batches so far."""
+    sums = log.groupBy("monday").agg(
+        F.sum("interactions").alias("interactions"),
+        *[(F.sum(f"sum_{x}") / F.sum(f"n_{x}")).alias(x) for x in L.LABELS],
+    )
+    return sums.select(
+        "monday", weeks.week_key("monday").alias("week_key"), "interactions",
+        health_score().alias("health_score"),
+    )
 
 
 def latest_comments(comments: DataFrame, path: str) -> DataStreamWriter:
