@@ -295,7 +295,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     grouped = in_blocks(
         candidates.join(sizes, "root").withColumnRenamed("node", "doc"), "root", "n", "doc", settings.text_block
     )
-    texts = grouped.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").repartition(
+    # Merged at every size: a broadcast of the groups, while they are few, would make small inputs
+    # tell nothing of the shuffle that large ones need.
+    texts = grouped.join(docs.select(F.col("doc_id").alias("doc"), "text").hint("merge"), "doc").repartition(
         "root", "i", "j"
     ).sortWithinPartitions("root", "i", "j", "doc")
     links = true_links(texts.select("root", "i", "j", "doc", "text"), settings)
