@@ -80,9 +80,11 @@ def _(v):
 
 
 def benchmark(v: Views):
-    items = v.interactions.join(v.truth, "interaction_id").select(
-        "interaction_id", F.col("content").alias("text"), "category", "expected_scam")
-    return evaluation.benchmark_rows(items, fraud.flags(routed(v)), "interaction_id")
+    rows = cut_lineage(fraud.scan(v.interactions))
+    items = rows.join(v.truth, "interaction_id").select(
+        "interaction_id", "category", "expected_scam", "heuristic_score", "matched_terms")
+    flagged = fraud.flags(fraud.cascade(rows, v.verdicts, v.accounts, staff=STAFF))
+    return evaluation.benchmark_rows(items, flagged, "interaction_id")
 
 
 BENCH = """bench AS (SELECT s.interaction_id, t.category, t.expected_scam AS y, s.heuristic_score >= 10 OR s.short AS p,

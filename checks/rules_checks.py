@@ -75,7 +75,12 @@ def length_scorer(texts: list[str]) -> list[dict[str, float]]:
     return [{"joy": (len(t) % 100) / 100, "fear": (len(t) % 7) / 10} for t in texts]
 
 
-@check("c10_pluggable_scorer")
+@check("c10_pluggable_scorer", r"""WITH w AS (SELECT interaction_id, content, string_split(trim(regexp_replace(content,
+  '\s+', ' ', 'g')), ' ') AS ws FROM interactions), starts AS (SELECT *, unnest(CASE WHEN len(ws) <= 300 THEN [0] ELSE
+  generate_series(0, len(ws) - 1, 250) END) AS s FROM w), chunks AS (SELECT interaction_id, length(CASE WHEN len(ws) <= 300
+  THEN content ELSE array_to_string(ws[s + 1:s + 300], ' ') END) AS n FROM starts)
+SELECT interaction_id, max((n % 100) / 100::DOUBLE) AS joy, max((n % 7) / 10::DOUBLE) AS fear, 0::DOUBLE AS neutral
+  FROM chunks GROUP BY 1""", ("interactions",))
 def _(v):
     scored = scoring.score_texts(v.interactions, length_scorer)
     return scored.select("interaction_id", "joy", "fear", "neutral")

@@ -109,7 +109,12 @@ def _score(s) -> Column:
 
 
 def scan(df: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``heuristic_score`` INT and ``matched_terms`` ARRAY<STRING>."""
+    """Add ``heuristic_score`` INT and ``matched_terms`` ARRAY<STRING>.
+
+    Rows that carry both are not scanned again, so one scan can serve several rules.
+    """
+    if {"heuristic_score", "matched_terms"} <= set(df.columns):
+        return df
     raw = F.coalesce(F.col(content), F.lit(""))
     staged = df.withColumn("_low", F.lower(raw))
     staged = evaluate_once(staged, {

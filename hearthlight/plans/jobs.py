@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hearthlight.functions import weeks
 from hearthlight.operators import distress, evaluation, fraud, metrics, sampling, trends
+from hearthlight.session import cut_lineage
 from hearthlight.sources import interactions as ingest
 from hearthlight.sources.tables import corpus_interactions, corpus_items
 
@@ -46,23 +47,29 @@ def weekly_analysis(raw: DataFrame, scores: DataFrame, verdict_table: DataFrame,
                     policy: fraud.Policy = fraud.Policy(),
                     staff: fraud.StaffPolicy = fraud.StaffPolicy()) -> WeeklyAnalysis:
     """Load, score, verify, route and summarise one week; fraud looks at the whole window."""
-    window = ingest.interaction_window(raw, year, week, window_weeks)
-    detailed = trends.with_week(scored_rows(window, scores))
-    current = detailed.filter("scam_scan_offset = 0")
+    # The week before is always read, for the change in health; fraud looks at its own window.
+    loaded = ingest.interaction_window(raw, year, week, max(2, window_weeks))
+    window = loaded.filter(F.col("scam_scan_offset") < max(1, window_weeks))
+    this_week = loaded.filter("scam_scan_offset = 0")
+    # The text rules of the current week feed four frames.
+    current = cut_lineage(trends.with_week(scored_rows(this_week, scores)))
+    two_weeks = trends.with_week(
+        loaded.filter("scam_scan_offset <= 1").select("interaction_id", "activity_date")
+        .join(scores, "interaction_id"))
     routed = fraud.review_severity(
         fraud.cascade(window, verdict_table, accounts, policy, staff), policy)
     verified = distress.verify(distress.severe_candidates(current, staff), verdict_table)
     monday = F.lit(weeks.week_bounds(year, week)[0])
     summary = trends.weekly_summary(
-        metrics.mean_profile(detailed, ["monday"]), metrics.weekly_health(detailed, ["monday"]),
-        metrics.weekly_counts(detailed, ["monday"]),
+        metrics.mean_profile(current, ["monday"]), metrics.weekly_health(two_weeks, ["monday"]),
+        metrics.weekly_counts(current, ["monday"]),
         fraud.flags(routed).agg(F.count(F.lit(1)).alias("fraud_flags")).select(
             monday.alias("monday"), "fraud_flags"),
         distress.verified(verified, True).agg(F.count(F.lit(1)).alias("severe_verified")).select(
             monday.alias("monday"), "severe_verified"),
     ).filter(F.col("week_key") == weeks.week_key(monday))
     return WeeklyAnalysis(
-        window.filter("scam_scan_offset = 0"), distress.severity_ranking(verified),
+        this_week, distress.severity_ranking(distress.verified(verified)),
         distress.top_mild(distress.mild_candidates(current), 50), routed, summary,
     )
 
@@ -84,10 +91,11 @@ class BenchmarkReport:
 
 def benchmark(corpus: DataFrame, verdict_table: DataFrame | None = None) -> BenchmarkReport:
     """Evaluate the heuristic, and with verdicts the full cascade, on labelled texts."""
-    items = corpus_items(corpus)
+    items = cut_lineage(fraud.scan(corpus_items(corpus), "text"))
     flagged = None
     if verdict_table is not None:
-        flagged = fraud.flags(fraud.cascade(corpus_interactions(items), verdict_table))
+        people = corpus_interactions(items, carried=("heuristic_score", "matched_terms"))
+        flagged = fraud.flags(fraud.cascade(people, verdict_table))
     rows = evaluation.benchmark_rows(items, flagged)
     return BenchmarkReport(
         rows, metrics.binary_metrics(rows, "expected_scam", "tier1_flag"),
