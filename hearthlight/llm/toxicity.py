@@ -36,7 +36,7 @@ from hearthlight.llm.shingles import distinct, runs, shingle_hashes, words_of
 from hearthlight.session import cut_lineage
 
 #: About so many labelled documents train the model, of at most so many characters each.
-SAMPLE, SAMPLE_CHARS = 6000, 20_000
+SAMPLE, SAMPLE_CHARS = 4000, 20_000
 THRESHOLD = 0.3
 #: Weight of a subsequence for each character it skips, and the most it may skip.
 DECAY, GAPS = 0.5, 3
@@ -238,13 +238,18 @@ def sigmoid_fit(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 def _without_near_copies(column: pa.Array) -> np.ndarray:
     """Rows of which no earlier one shares one of six coordinates over word shingles."""
-    owner, hashes = distinct(*shingle_hashes(words_of(column, lower=True), 3))
-    first = np.searchsorted(owner, np.arange(len(column) + 1))
     seeds = np.random.default_rng(3).integers(1, 1 << 63, 6, dtype=np.uint64) | np.uint64(1)
-    full, keep = np.flatnonzero(np.diff(first)), np.ones(len(column), bool)
-    if len(full) == 0:
+    keep, rows, parts = np.ones(len(column), bool), [], []
+    for a, b in runs(column):
+        owner, hashes = distinct(*shingle_hashes(words_of(column.slice(a, b - a), lower=True), 3))
+        first = np.searchsorted(owner, np.arange(b - a + 1))
+        full = np.flatnonzero(np.diff(first))
+        if len(full):
+            rows.append(full + a)
+            parts.append(np.column_stack([np.minimum.reduceat(hashes * s, first[full]) for s in seeds]))
+    if not rows:
         return np.arange(len(column))
-    values = np.column_stack([np.minimum.reduceat(hashes * s, first[full]) for s in seeds])
+    full, values = np.concatenate(rows), np.concatenate(parts)
     seen: set[tuple[int, int]] = set()
     for row, own in zip(full.tolist(), values.tolist(), strict=True):
         pairs = set(enumerate(own))
@@ -253,16 +258,16 @@ def _without_near_copies(column: pa.Array) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-def _fragments(words: set[bytes]) -> set[bytes]:
+def _fragments(words: list[bytes]) -> set[bytes]:
     return {w[i:i + n] for w in words for n in (4, 5, 6, 8) for i in range(len(w) - n + 1)}
 
 
-def _folded(text: str) -> set[bytes]:
-    """Words of a text as symbol strings of three or more."""
+def _folded(text: str, known: dict[bytes, bytes]) -> list[bytes]:
+    """Words of a text as symbol strings of three or more; equal ones are one object."""
     words = words_of(pa.array([text]))
     folded = fold(words.data, words.starts, words.ends)
     raw, first = folded.symbols.tobytes(), folded.first.tolist()
-    return {raw[a:b] for a, b in zip(first, first[1:]) if b - a >= 3}  # noqa: B905
+    return [known.setdefault(w, w) for w in {raw[a:b] for a, b in zip(first, first[1:]) if b - a >= 3}]  # noqa: B905
 
 
 def _cover(sets: dict[bytes, set[int]], clean: dict[bytes, int], least: int, most: int) -> list[bytes]:
@@ -280,16 +285,21 @@ def _cover(sets: dict[bytes, set[int]], clean: dict[bytes, int], least: int, mos
     return chosen
 
 
-def _chosen_fragments(toxic: dict[int, set[bytes]], clean: list[set[bytes]], share: float) -> list[bytes]:
+def _chosen_fragments(toxic: dict[int, list[bytes]], clean: list[list[bytes]], share: float) -> list[bytes]:
     """Covers of the toxic texts, one after another, each by words that the earlier ones leave."""
     left, chosen, counted = toxic, [], {}
     for _ in range(_COVERS):
+        # Counted by hash first: most fragments stand in one text and need not be kept.
+        hashes = [np.fromiter(map(hash, _fragments(words)), np.int64) for words in left.values()]
+        values, counts = np.unique(np.concatenate(hashes), return_counts=True)
+        # So many texts that no fragment is expected to stand in that many toxic ones by chance.
+        least = max(3, int(np.ceil(np.log(len(values) + 1) / -np.log(max(share, 0.02)))))
+        often = set(values[counts >= least].tolist())
         where: dict[bytes, set[int]] = {}
         for i, words in left.items():
             for f in _fragments(words):
-                where.setdefault(f, set()).add(i)
-        # So many texts that no fragment is expected to stand in that many toxic ones by chance.
-        least = max(3, int(np.ceil(np.log(len(where) + 1) / -np.log(max(share, 0.02)))))
+                if hash(f) in often:
+                    where.setdefault(f, set()).add(i)
         where = {f: s for f, s in where.items() if len(s) >= least}
         unseen = where.keys() - counted.keys()
         counted.update(dict.fromkeys(unseen, 0))
@@ -300,7 +310,7 @@ def _chosen_fragments(toxic: dict[int, set[bytes]], clean: list[set[bytes]], sha
         if not found:
             break
         chosen += found
-        left = {i: {w for w in words if not any(f in w for f in found)} for i, words in left.items()}
+        left = {i: [w for w in words if not any(f in w for f in found)] for i, words in left.items()}
     return chosen
 
 
@@ -327,7 +337,8 @@ def train(texts: list[str], labels: list[int]) -> Model | float:
     share = float(np.mean(labels)) if labels else 0.0
     if not 0 < y.sum() < len(y):
         return share
-    bags = [_folded(texts[i]) for i in rows]
+    known: dict[bytes, bytes] = {}
+    bags = [_folded(texts[i], known) for i in rows]
     toxic = {i: bags[i] for i in np.flatnonzero(y).tolist()}
     clean_words: dict[bytes, int] = {}
     for i in np.flatnonzero(y == 0).tolist():
