@@ -136,7 +136,7 @@ def _matrices(contexts: pa.Array, before: np.ndarray, window: int, reach: int) -
 
 def _tree(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A suffix tree: the sorted order, and the common prefix of each suffix with the one before."""
-    order = np.lexsort(rows.T[::-1])
+    order = np.lexsort(rows.T[::-1]) if rows.shape[1] else np.arange(len(rows))
     common = np.zeros(len(rows), np.int64)
     if len(rows) > 1 and rows.shape[1]:
         apart = rows[order[1:]] != rows[order[:-1]]
@@ -215,34 +215,39 @@ def tree_repeats(suffixes: DataFrame, window: int, prefix: int) -> DataFrame:
 
 
 def window_repeats(suffixes: DataFrame, window: int, prefix: int) -> DataFrame:
-    """The same for groups of any size: the prefix is the whole window."""
+    """The same for groups of any size: the prefix is the whole window. Equal contexts are one, so
+    that a passage in very many documents, or one word said over and over, is cut up once."""
     reach = window - prefix
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("context").to_pylist()
             rows = []
-            for head, doc, at, before, context in zip(
-                *(batch.column(c).to_pylist() for c in ("head", "doc_id", "at", "before")), text, strict=True
-            ):
+            for head, key, least, before, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = context.encode().split()
                 for r in range(min(before, reach) + 1):
                     own = words[before - r:before - r + window]
                     if len(own) == window:
-                        rows.append((head, xxhash.xxh64_intdigest(b" ".join(own)) - (1 << 63), doc, at, 1 << r))
+                        rows.append((head, key, least, xxhash.xxh64_intdigest(b" ".join(own)) - (1 << 63), 1 << r))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["head", "content", "doc_id", "at", "bit"]
+                [pa.array(c, pa.int64()) for c in columns], ["head", "key", "least", "content", "bit"]
             )
 
-    windows = cut_lineage(suffixes.select("head", "doc_id", "at", "before", "context").mapInArrow(
-        work, "head bigint, content bigint, doc_id bigint, at int, bit bigint"
+    suffixes = cut_lineage(suffixes)
+    contexts = suffixes.groupBy("head", "key").agg(
+        F.min("doc_id").alias("least"), F.max("before").alias("before"), F.max("context").alias("context")
+    )
+    windows = cut_lineage(contexts.select("head", "key", "least", "before", "context").mapInArrow(
+        work, "head bigint, key bigint, least bigint, content bigint, bit bigint"
     ))
-    least = windows.groupBy("head", "content").agg(F.min("doc_id").alias("least"))
-    return windows.join(least, ["head", "content"]).where("doc_id > least").groupBy("doc_id", "at").agg(
-        F.bit_or("bit").alias("windows")
+    first = windows.groupBy("head", "content").agg(F.min("least").alias("first"))
+    bits = windows.join(first, ["head", "content"]).groupBy("head", "key", "least").agg(
+        F.bit_or("bit").alias("there"),
+        F.bit_or(F.when(F.col("first") < F.col("least"), F.col("bit")).otherwise(0)).alias("lesser"),
     )
+    return suffixes.select("head", "key", "doc_id", "at").join(bits, ["head", "key"]).select(
+        "doc_id", "at", F.when(F.col("doc_id") > F.col("least"), F.col("there")).otherwise(F.col("lesser")).alias("windows")
+    ).where("windows != 0")
 
 
 def without_repeats(rows: DataFrame, window: int) -> DataFrame:
@@ -297,15 +302,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     )
     large = marked.where(F.col("n") > group)
     if not large.isEmpty():
-        every = large.groupBy("doc_id").agg(F.collect_set(F.struct("head", "at", "n")).alias("marks"))
-        found = found.unionByName(window_repeats(
-            _all_contexts(with_contexts(texts.join(every, "doc_id"), window, prefix)), window, prefix
-        ))
+        found = found.unionByName(window_repeats(contexts(large), window, prefix))
     repeats = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "windows")).alias("repeats"))
     return without_repeats(texts.join(repeats, "doc_id", "left"), window)
 
-
-def _all_contexts(rows: DataFrame) -> DataFrame:
-    """Rows with their contexts filled in, where a task gave one for several rows."""
-    known = rows.where("context is not null").select("head", "key", "context").dropDuplicates(["head", "key"])
-    return rows.drop("context").join(known, ["head", "key"])
