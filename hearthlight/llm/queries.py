@@ -52,7 +52,7 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     out = new_folder(spark, "tokens")
     write_tokens(table(spark, folder, "documents"), out)
-    return read_tokens(spark, out).drop("ids")
+    return read_tokens(spark, out, with_ids=False)
 
 
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,4 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_mixing,
     )
 }
-ORACLES: dict[str, str] = {"op4_exact_dedup": sql.EXACT_DEDUP}
+ORACLES: dict[str, str] = {
+    "op2_minhash": sql.MINHASH, "op4_exact_dedup": sql.EXACT_DEDUP, "op5_substring_dedup": sql.SUBSTRINGS,
+}

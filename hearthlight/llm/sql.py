@@ -8,3 +8,33 @@ g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP B
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
 FROM d JOIN g USING (norm)
 """
+
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+#: Every pair of documents that share a shingle, then the least document that links reach.
+MINHASH = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE [array_to_string(ws[i:i + 2], ' ') FOR i IN range(1, len(ws) - 1)] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT e.b, r.seen FROM r JOIN e ON e.a = r.node),
+k AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.node = d.doc_id
+"""
+
+#: A window is its text; a word goes if a window over it stands in a document with a lesser id.
+SUBSTRINGS = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+v AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS pos, ws FROM w WHERE len(ws) >= 50),
+h AS (SELECT doc_id, pos, array_to_string(ws[pos:pos + 49], ' ') AS own FROM v),
+f AS (SELECT own, min(doc_id) AS first FROM h GROUP BY own HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS i FROM h JOIN f USING (own) WHERE first < doc_id),
+u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM u ANTI JOIN x USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
