@@ -479,15 +479,15 @@ def _(v):
 
 
 @check("b8_extract_json", f"""SELECT interaction_id, coalesce({O.json_body('scam_raw')}, scam_raw) AS body
-  FROM verdicts""", ("verdicts",))
+  FROM answers""", ("answers",))
 def _(v):
-    return v.verdicts.select("interaction_id", V.extract_json("scam_raw").alias("body"))
+    return v.answers.select("interaction_id", V.extract_json("scam_raw").alias("body"))
 
 
-@check("b9_boolean_verdict", f"SELECT interaction_id, {O.boolean_verdict('sanity_raw')} AS verdict FROM verdicts",
-       ("verdicts",))
+@check("b9_boolean_verdict", f"SELECT interaction_id, {O.boolean_verdict('sanity_raw')} AS verdict FROM answers",
+       ("answers",))
 def _(v):
-    return v.verdicts.select("interaction_id", V.boolean_verdict("sanity_raw").alias("verdict"))
+    return v.answers.select("interaction_id", V.boolean_verdict("sanity_raw").alias("verdict"))
 
 
 _LINES = "concat('note', chr(10), '  ', replace(sanity_raw, '**', chr(10)), chr(10), 'end')"
@@ -495,9 +495,9 @@ _LINES = "concat('note', chr(10), '  ', replace(sanity_raw, '**', chr(10)), chr(
 
 @check("b10_line_verdict", f"""SELECT interaction_id, CASE upper(regexp_extract({_LINES},
   '(?im)^[ \\t]*verdict:[ \\t]*(true|false)', 1)) WHEN 'TRUE' THEN true WHEN 'FALSE' THEN false END AS verdict
-  FROM verdicts""", ("verdicts",))
+  FROM answers""", ("answers",))
 def _(v):
-    return v.verdicts.select("interaction_id", V.line_verdict(F.expr(
+    return v.answers.select("interaction_id", V.line_verdict(F.expr(
         _LINES.replace("chr(10)", "char(10)"))).alias("verdict"))
 
 

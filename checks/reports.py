@@ -219,9 +219,13 @@ def audited(v, n: int):
 
 @check("g17_miss_rate", f"""WITH {misses_sql(500)} SELECT count(*) AS sample_size, count(*) FILTER (WHERE missed) AS
   false_negatives_detected, round(100 * count(*) FILTER (WHERE missed) / greatest(count(*), 1)::DOUBLE, 2) AS
-  false_negative_rate FROM audited""", ("routed", "verdicts"))
+  false_negative_rate, (SELECT count(*) FROM passed) AS passed_total, NOT EXISTS (SELECT * FROM drawn JOIN verdicts USING
+  (interaction_id) WHERE trim(content) <> '' AND starts_with(scam_raw, 'ERROR:')) AS reviewer_available FROM audited""",
+       ("routed", "verdicts"))
 def _(v):
-    return evaluation.miss_stats(audited(v, 500))
+    flagged = fraud.flags(routed(v)).select("interaction_id")
+    passed = v.interactions.select("interaction_id").join(flagged, "interaction_id", "left_anti")
+    return evaluation.miss_stats(audited(v, 500), passed.agg(F.count(F.lit(1))).scalar())
 
 
 @check("g18_feedback_precision", """SELECT confirmed, false_positives, needs_review, round(confirmed / greatest(confirmed +

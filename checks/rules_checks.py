@@ -45,7 +45,9 @@ _scores("c5_spike", f"round({O.greatest(L.SERIOUS)}, 12) AS spike, round({O.grea
 _scores("c6_threshold_margin", "round(least(" + ", ".join(
     f"abs({x} - {L.DEFAULT_THRESHOLDS[x]!r}::DOUBLE)" for x in L.LABELS) + "), 12) AS margin",
         lambda: [F.round(S.threshold_margin(L.DEFAULT_THRESHOLDS), 12).alias("margin")])
-_scores("c7_entropy", f"round({O.entropy()}, 6) AS entropy",
+_CLIPPED = [f"least(greatest({x}, 1e-9), 1.0)" for x in L.LABELS]
+_ALL = O.plus(_CLIPPED)
+_scores("c7_entropy", f"round(-({O.plus(f'({c} / {_ALL}) * ln({c} / {_ALL})' for c in _CLIPPED)}), 6) AS entropy",
         lambda: [F.round(S.entropy(), 6).alias("entropy")])
 
 
@@ -194,7 +196,8 @@ def routed(v):
     return fraud.cascade(v.interactions, v.verdicts, v.accounts, staff=STAFF)
 
 
-@check("d8_routing", """SELECT interaction_id, severity_level, status AS llm_status, gate AS tier3_verdict,
+@check("d8_routing", """SELECT interaction_id, severity_level, status AS llm_status, CASE WHEN
+  status = 'OK' THEN gate END AS tier3_verdict,
   action AS recommended_action, disposition, audit_reason FROM routed""", ("routed",))
 def _(v):
     return routed(v).select("interaction_id", "severity_level", "llm_status", "tier3_verdict",

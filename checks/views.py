@@ -51,7 +51,7 @@ FORUM_COLUMNS = {
     "forum_title": "CASE WHEN interaction_id % 50 = 0 THEN NULL "
                    f"ELSE concat('Topic ', {_text('interaction_id % 300')}) END",
     "forum_content": "CASE WHEN interaction_id % 60 = 0 THEN NULL "
-                     f"ELSE concat('Body ', {_text('interaction_id % 300')}) END",
+                     "ELSE content END",
     "forum_created_at": "activity_date",
     "discussion_id": "CASE WHEN interaction_id % 31 = 0 THEN NULL ELSE interaction_id % 4000 END",
     "discussion_content": "CASE WHEN interaction_id % 37 = 0 THEN '   ' ELSE content END",
@@ -152,7 +152,8 @@ DOCUMENT_COLUMNS = {
 
 PROJECTIONS = {
     "scores": (SCORE_COLUMNS, "events", ""),
-    "verdicts": (VERDICT_COLUMNS, "events", "event_id % 10 <> 9"),
+    "verdicts": (VERDICT_COLUMNS, "events", "event_id % 10 <> 9"),  # some rows have no answer
+    "answers": (VERDICT_COLUMNS, "events", ""),
     "accounts": (ACCOUNT_COLUMNS, "events", ""),
     "truth": (TRUTH_COLUMNS, "events", ""),
     "teacher": (TEACHER_COLUMNS, "events", ""),

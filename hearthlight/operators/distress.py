@@ -192,7 +192,7 @@ def severe_candidates(df: DataFrame, staff: StaffPolicy = StaffPolicy()) -> Data
         text.percent(severe["severe_sum"]).alias("total_negative"),
         text.percent(severe["severe_avg"]).alias("avg_negative_intensity"),
         severe["severe_component_count"].alias("negative_component_count"),
-        severe["severe_components"].alias("negative_components"),
+        F.transform(severe["severe_components"], text.title_case).alias("negative_components"),
         severe["reason_flags"].alias("reason_flags"),
         severe["rare_hints"].alias("rare_hints"),
         severe["support_need_hits"].alias("support_need_hits"),
@@ -209,7 +209,7 @@ def mild_candidates(df: DataFrame) -> DataFrame:
         text.percent(mild["negative_sum"]).alias("total_negative"),
         text.percent(mild["negative_avg"]).alias("avg_negative_intensity"),
         mild["negative_component_count"].alias("negative_component_count"),
-        mild["negative_components"].alias("negative_components"),
+        F.transform(mild["negative_components"], text.title_case).alias("negative_components"),
         F.coalesce("content", F.lit("")).alias("comment"), *_IDENTITY,
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlight import labels as L
@@ -169,21 +169,27 @@ def missed_scams(sample: DataFrame, verdict_table: DataFrame, raw: str = "scam_r
         & F.col("_answer")["is_scam"]
         & (F.col("_answer")["confidence"].try_cast("double") >= 0.80)
     )
+    blank = F.trim(F.coalesce("content", F.lit(""))) == ""
     return joined.withColumns({
         "missed": F.coalesce(missed, F.lit(False)),
+        "unanswered": ~blank & F.coalesce(verdicts.is_error(raw), F.lit(False)),
         "confidence": F.col("_answer")["confidence"].try_cast("double"),
         "reasoning": F.col("_answer")["reasoning"],
         "indicators": F.col("_answer")["indicators"],
     }).drop("_answer", raw)
 
 
-def miss_stats(audited: DataFrame) -> DataFrame:
-    """Sample size, misses and miss rate in percent; blank rows stay in the denominator."""
+def miss_stats(audited: DataFrame, passed_total: int | Column | None = None) -> DataFrame:
+    """Sample size, rows that passed, misses, miss rate in percent, and whether the reviewer
+    answered for every row that is not blank; blank rows stay in the denominator."""
     n, m = F.count(F.lit(1)), F.count_if("missed")
-    return audited.agg(
+    stats = audited.agg(
         n.alias("sample_size"), m.alias("false_negatives_detected"),
+        (F.count_if("unanswered") == 0).alias("reviewer_available"),
         F.round(100 * m / F.greatest(n, F.lit(1)), 2).alias("false_negative_rate"),
     )
+    total = passed_total if isinstance(passed_total, Column) else F.lit(passed_total)
+    return stats.withColumn("passed_total", total.cast("bigint"))
 
 
 # --- staff feedback ------------------------------------------------------------------------------

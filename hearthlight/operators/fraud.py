@@ -368,7 +368,11 @@ def cascade(df: DataFrame, verdict_table: DataFrame, accounts: DataFrame | None
     )
     if accounts is not None:
         rows = with_accounts(rows, accounts)
-    return route(with_context(context_gates(rows), verdict_table, policy), policy)
+    answered = F.col("llm_status") == "OK"
+    gated = context_gates(rows).withColumns({  # gates judge answers; a failed one has none
+        c: F.when(answered, F.col(c)) for c in ("tier3_verdict", "tier3_reason")
+    })
+    return route(with_context(gated, verdict_table, policy), policy)
 
 
 def flags(routed: DataFrame) -> DataFrame:

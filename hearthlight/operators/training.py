@@ -118,11 +118,13 @@ def exact_wide(rows: DataFrame, content: str = "text", source: str = "go_emotion
 
 def exact_indexed(rows: DataFrame, names: Sequence[str], content: str = "text",
                   indexes: str = "labels", source: str = "go_emotions") -> DataFrame:
-    """External rows that carry a list of label numbers into ``names``.
+    """External rows that carry a list of label numbers into ``names``, or a single number.
 
     Each label column tests whether its number is in the list, so nothing is exploded.
     """
     low = [str(n).lower() for n in names]
+    if not dict(rows.dtypes)[indexes].startswith("array"):
+        rows = rows.withColumn(indexes, F.array(F.col(indexes).cast("int")))
     wide = rows.withColumns({
         e: F.when(
             F.arrays_overlap(

@@ -145,7 +145,7 @@ def latest_snapshots(log: DataFrame, session: DataFrame | None = None) -> DataFr
     if session is not None:
         rows = rows.unionByName(session.withColumn("_session", F.lit(1)))
     return latest_per_key(
-        rows, ["week_key"], [F.desc("_session"), F.desc("updated_at")]
+        rows, ["week_key"], [F.desc("_session"), F.desc("updated_at"), "model_id", "score"]
     ).drop("_session")
 
 
