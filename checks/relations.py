@@ -301,3 +301,10 @@ BATCH = f"""batch AS (SELECT interaction_id + 1000000 AS row_no, {O.text_hash(O.
   ORDER BY r, row_no) AS rn FROM both_rows) WHERE rn = 1""", ("interactions", "master"))
 def _(v):
     return training.merged_master(batch_rows(v), master_rows(v), ["row_no"]).select("row_no", "text_hash")
+
+
+@check("h4_appended_rows", f"""WITH {BATCH}, known AS (SELECT text_hash FROM master WHERE text_hash IS NOT NULL) SELECT
+  min(row_no) AS row_no, text_hash FROM batch WHERE text_hash NOT IN (SELECT text_hash FROM known) GROUP BY text_hash""",
+       ("interactions", "master"))
+def _(v):
+    return training.rows_to_append(batch_rows(v), master_rows(v), ["row_no"]).select("row_no", "text_hash")

@@ -166,15 +166,6 @@ def _select(columns: dict[str, str]) -> str:
     return ", ".join(f"{expr} AS {name}" for name, expr in columns.items())
 
 
-def spread(rows: DataFrame, source: DataFrame) -> DataFrame:
-    """Split rows of a table that arrives as one small file over the cores.
-
-    A table of many files is left alone: its scan already spreads the work.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if len(source.inputFiles()) >= cores else rows.repartition(cores)
-
-
 class Views:
     """The views as Spark frames over one data folder."""
 
@@ -196,11 +187,13 @@ class Views:
     def interactions(self) -> DataFrame:
         documents = self.table("documents").select("doc_id", "text", "source")
         source = self.table("events")
-        events = source.selectExpr("*", f"event_id % {documents.count()} AS doc")
+        # The slim event rows are dealt over the cores before texts join them.
+        cores = self.spark.sparkContext.defaultParallelism
+        events = source.repartition(cores).selectExpr("*", f"event_id % {documents.count()} AS doc")
         rows = events.alias("e").join(
             documents.alias("x"), documents["doc_id"] == events["doc"]
         )
-        return spread(rows, source).selectExpr(*[f"{expr} AS {n}" for n, expr in INTERACTION_COLUMNS.items()])
+        return rows.selectExpr(*[f"{expr} AS {n}" for n, expr in INTERACTION_COLUMNS.items()])
 
     @property
     def forum(self) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hearthlight.functions import scores as S
 from hearthlight.functions.text import explode_chunks
@@ -16,32 +17,33 @@ Scorer = Callable[[list[str]], list[dict[str, float]]]
 
 def score_texts(df: DataFrame, scorer: Scorer, content: str = "content",
                 key: str = "interaction_id", batch: int = 32) -> DataFrame:
-    """Run ``scorer`` over all texts and return key plus 28 scores.
+    """Run ``scorer`` over all texts and return key, 28 scores and ``failed_chunks``.
 
     Long texts are split into overlapping word windows and pooled by maximum. ``scorer`` takes a
     list of texts and returns one label-to-score mapping per text. A batch that fails is retried
-    text by text; a text that still fails gets zeros.
+    text by text; a text that still fails gets zeros and counts in ``failed_chunks``.
     """
     labels = list(LABELS)
 
-    def one(texts: list[str]) -> list[dict[str, float]]:
+    def one(texts: list[str]) -> list[dict[str, float] | None]:
         try:
             return scorer(texts)
         except Exception:
-            return [{}] if len(texts) == 1 else [one([t])[0] for t in texts]
+            return [None] if len(texts) == 1 else [one([t])[0] for t in texts]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame["chunk"].tolist()
-            rows: list[dict[str, float]] = []
+            rows: list[dict[str, float] | None] = []
             for start in range(0, len(texts), batch):
                 rows += one(texts[start:start + batch])
-            out = pd.DataFrame(rows, index=frame.index).reindex(columns=labels)
+            out = pd.DataFrame([r or {} for r in rows], index=frame.index).reindex(columns=labels)
             out = out.astype("float64").fillna(0.0)
             out.insert(0, key, frame[key])
+            out["failed"] = [int(r is None) for r in rows]
             yield out
 
     kind = dict(df.dtypes)[key]
-    shape = f"{key} {kind}, " + ", ".join(f"{label} double" for label in labels)
+    shape = f"{key} {kind}, " + ", ".join(f"{label} double" for label in labels) + ", failed int"
     pieces = explode_chunks(df.select(key, content), content).select(key, "chunk")
-    return S.max_pool(pieces.mapInPandas(run, shape), key)
+    return S.max_pool(pieces.mapInPandas(run, shape), key, failed_chunks=F.sum("failed"))
