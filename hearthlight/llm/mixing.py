@@ -308,8 +308,10 @@ def mixed_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         mix(docs, settings).pieces.groupBy("doc_id", "copy", "epoch")
         .agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("ranges"), F.sum("length").alias("words"))
     )
-    key = docs.withColumn("size", word_count(text_or_empty())).withColumn(
-        "text_hash", F.xxhash64(text_or_empty())
+    # The document's own columns stay in a struct, whatever their names.
+    key = docs.select(
+        "doc_id", "source", "text", word_count(text_or_empty()).alias("size"),
+        F.xxhash64(text_or_empty()).alias("text_hash"), F.struct("*").alias("row"),
     ).withColumn("copy", copy_number())
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     cut = let(words, lambda w: F.array_join(F.flatten(F.transform(
@@ -318,6 +320,7 @@ def mixed_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     out = key.join(parts, ["doc_id", "copy"]).withColumn(
         "text", F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(cut)
     )
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

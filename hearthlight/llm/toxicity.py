@@ -395,7 +395,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
 
 
 def score_texts(docs: DataFrame, model: Model | float, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``score``."""
+    """The rows of ``docs`` with ``score``, in place of a column of that name."""
+    docs = docs.drop("score")
     kept = docs.schema
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double"
 
