@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in runs of about this many bytes (a longer text is a run by itself).
-RUN_BYTES, RUN_TEXTS = 4 << 20, 1000
+RUN_BYTES, RUN_TEXTS = 1_000_000, 1000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -35,12 +35,16 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
-    if len(_powers[name]) < n:
-        size = 1 << (n - 1).bit_length()
-        out = np.full(size, base, _U)
-        out[0] = 1
-        _powers[name] = np.multiply.accumulate(out)
-    return _powers[name][:n]
+    """The first powers of ``base``; those for runs are kept, those for longer texts are not."""
+    if len(_powers[name]) >= n:
+        return _powers[name][:n]
+    size = 1 << (n - 1).bit_length()
+    out = np.full(size, base, _U)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if size <= 1 << 20:
+        _powers[name] = out
+    return out[:n]
 
 
 @dataclass
