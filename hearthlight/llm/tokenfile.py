@@ -67,7 +67,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, sam
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = zstandard.ZstdCompressionDict(trained) if trained else None
-        packer = zstandard.ZstdCompressor(level=3, dict_data=shared)
+        packer = zstandard.ZstdCompressor(level=1, dict_data=shared)
         shard, segment = TaskContext.get().partitionId(), 0
         ids: list[int] = []
         counts: list[int] = []
@@ -113,8 +113,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, sam
     ).coalesce(1).write.parquet(f"{folder}/shards")
 
 
-def read_segments(spark: SparkSession, folder: str, segments: DataFrame, wanted: tuple[int, ...] = ()) -> DataFrame:
-    """doc_id, shard, segment, position, n_tokens, ids (binary), of all documents or the wanted ones."""
+def read_segments(
+    spark: SparkSession, folder: str, segments: DataFrame, wanted: tuple[int, ...] = (), with_ids: bool = True
+) -> DataFrame:
+    """doc_id, shard, segment, before (ids of the segment before it), n_tokens, ids (binary, null if
+    not asked for) and ids_crc32, of all documents or the wanted ones."""
     stored = spark.read.parquet(f"{folder}/dictionary").first()
     trained, name = bytes(stored.content), stored.name
     if hashlib.sha256(trained).hexdigest() != name:
@@ -132,7 +135,8 @@ def read_segments(spark: SparkSession, folder: str, segments: DataFrame, wanted:
                 for i, (doc, n) in enumerate(zip(row["doc_ids"], row["counts"], strict=True)):
                     if not only or doc in only:
                         raw = unpacker.decompress(payload[offsets[i]:offsets[i + 1]])
-                        docs.append((doc, row["shard"], row["segment"], before, n, raw, zlib.crc32(raw)))
+                        shown = raw if with_ids else None
+                        docs.append((doc, row["shard"], row["segment"], before, n, shown, zlib.crc32(raw)))
                         if len(raw) != 4 * n:
                             raise ValueError("a frame is damaged")
                     before += n
@@ -148,10 +152,10 @@ def read_segments(spark: SparkSession, folder: str, segments: DataFrame, wanted:
     )
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents from the files: doc_id, start, n_tokens, ids_crc32, ids."""
+def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """All documents from the files: doc_id, start, n_tokens, ids_crc32, and ids if asked for."""
     segments = spark.read.parquet(f"{folder}/segments")
-    rows = read_segments(spark, folder, segments)
+    rows = read_segments(spark, folder, segments, with_ids=with_ids)
     in_shard = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     index = segments.select("shard", "segment", "tokens").withColumn(
@@ -160,7 +164,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         "shard", "segment", (F.col("first") + F.col("earlier")).alias("base")
     )
     return rows.join(index, ["shard", "segment"]).select(
-        "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "ids"
+        "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32",
+        *(["ids"] if with_ids else []),
     )
 
 
