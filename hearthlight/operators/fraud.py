@@ -250,9 +250,11 @@ class Policy:
         return self.medium
 
 
-def with_verdicts(rows: DataFrame, verdict_table: DataFrame, raw: str = "scam_raw") -> DataFrame:
-    """Left join on the reviewer's answers; no answer counts as a timeout."""
-    answers = verdict_table.select("interaction_id", F.col(raw).alias("_raw"))
+def with_verdicts(rows: DataFrame, verdict_table: DataFrame, raw: str = "scam_raw",
+                  also: tuple[str, ...] = ()) -> DataFrame:
+    """Left join on the reviewer's answers; no answer counts as a timeout. ``also`` names further
+    answers to bring along."""
+    answers = verdict_table.select("interaction_id", F.col(raw).alias("_raw"), *also)
     return rows.join(answers, "interaction_id", "left").withColumn(
         raw, F.coalesce("_raw", F.lit("ERROR: Timeout"))
     ).drop("_raw")
@@ -302,13 +304,19 @@ def needs_context_check(policy: Policy = Policy()) -> Column:
 
 def with_context(rows: DataFrame, verdict_table: DataFrame, policy: Policy = Policy(),
                  raw: str = "context_raw") -> DataFrame:
-    """Context answers, joined only where a mid-confidence scam needs them."""
-    answers = verdict_table.select(
-        F.col("interaction_id").alias("_id"), F.col(raw).alias("_context")
-    )
-    joined = rows.withColumn("_check", needs_context_check(policy)).join(
-        answers, (F.col("interaction_id") == F.col("_id")) & F.col("_check"), "left"
-    )
+    """Context answers, used only where a mid-confidence scam needs them; joined unless the rows
+    carry them already."""
+    if raw in rows.columns:
+        joined = rows.withColumn(
+            "_context", F.when(needs_context_check(policy), F.col(raw))
+        ).drop(raw)
+    else:
+        answers = verdict_table.select(
+            F.col("interaction_id").alias("_id"), F.col(raw).alias("_context")
+        )
+        joined = rows.withColumn("_check", needs_context_check(policy)).join(
+            answers, (F.col("interaction_id") == F.col("_id")) & F.col("_check"), "left"
+        ).drop("_id", "_check")
     fields = F.from_json(verdicts.extract_json("_context"), verdicts.CONTEXT_ANSWER)
     return joined.withColumn(
         "_fields", F.when(~verdicts.is_error("_context"), fields)
@@ -319,7 +327,7 @@ def with_context(rows: DataFrame, verdict_table: DataFrame, policy: Policy = Pol
             F.coalesce(F.col("_fields")["pattern"], F.lit("unknown")),
         ),
         "context_reason": F.col("_fields")["reasoning"],
-    }).drop("_id", "_context", "_fields", "_check")
+    }).drop("_context", "_fields")
 
 
 def route(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -363,9 +371,9 @@ def cascade(df: DataFrame, verdict_table: DataFrame, accounts: DataFrame | None
             policy: Policy = Policy(), staff: StaffPolicy = StaffPolicy(),
             include_trusted_users: bool = False) -> DataFrame:
     """Scan, verdicts, gates, context check and routing in one plan."""
-    rows = parse_verdicts(
-        with_verdicts(candidates(df, staff, include_trusted_users), verdict_table)
-    )
+    # Both answers come with one read of the verdict table.
+    rows = parse_verdicts(with_verdicts(
+        candidates(df, staff, include_trusted_users), verdict_table, also=("context_raw",)))
     if accounts is not None:
         rows = with_accounts(rows, accounts)
     answered = F.col("llm_status") == "OK"
