@@ -137,5 +137,7 @@ def test_oracle(spark, name):
 
 def test_registry_is_complete():
     import __spark_entry__ as entry
+    from checks import registry
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"c10_pluggable_scorer"}
+    assert set(registry.QUERIES) == set(registry.ORACLES) <= set(entry.oracle_sql())
+
