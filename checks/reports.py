@@ -284,8 +284,9 @@ def _(v):
     def count(df, name):
         return df.select("interaction_id").join(dates, "interaction_id").groupBy("monday").agg(
             F.count(F.lit(1)).alias(name))
+    profile = cut_lineage(metrics.mean_profile(weekly(v), ["monday"]))
     return trends.weekly_summary(
-        metrics.mean_profile(weekly(v), ["monday"]), metrics.weekly_health(weekly(v), ["monday"]),
+        profile, metrics.profile_health(profile, ["monday"]),
         metrics.weekly_counts(rows, ["monday"]), count(fraud.flags(routed(v)), "fraud_flags"),
         count(distress.verified(verified_rows(v), True), "severe_verified"))
 

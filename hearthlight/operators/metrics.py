@@ -39,8 +39,13 @@ def health_score() -> Column:
     return F.when(total != 0, F.round(10 * (1 - negative / total), 2))
 
 
+def profile_health(profile: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Health of mean profiles that are there already."""
+    return profile.select(*keys, health_score().alias("health_score"))
+
+
 def weekly_health(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return mean_profile(df, keys).select(*keys, health_score().alias("health_score"))
+    return profile_health(mean_profile(df, keys), keys)
 
 
 def is_negative_dominant() -> Column:

@@ -56,12 +56,13 @@ def weekly_analysis(raw: DataFrame, scores: DataFrame, verdict_table: DataFrame,
     two_weeks = trends.with_week(
         loaded.filter("scam_scan_offset <= 1").select("interaction_id", "activity_date")
         .join(scores, "interaction_id"))
+    profile = cut_lineage(metrics.mean_profile(two_weeks, ["monday"]))  # two rows
     routed = fraud.review_severity(
         fraud.cascade(window, verdict_table, accounts, policy, staff), policy)
     verified = distress.verify(distress.severe_candidates(current, staff), verdict_table)
     monday = F.lit(weeks.week_bounds(year, week)[0])
     summary = trends.weekly_summary(
-        metrics.mean_profile(current, ["monday"]), metrics.weekly_health(two_weeks, ["monday"]),
+        profile, metrics.profile_health(profile, ["monday"]),
         metrics.weekly_counts(current, ["monday"]),
         fraud.flags(routed).agg(F.count(F.lit(1)).alias("fraud_flags")).select(
             monday.alias("monday"), "fraud_flags"),
