@@ -125,7 +125,9 @@ def postings(classes: DataFrame, settings: Settings) -> DataFrame:
     pairs = classes.select("doc", F.posexplode("signature").alias("coordinate", "value")).select(
         "doc", F.xxhash64("coordinate", "value").alias("list")
     )
-    shared = pairs.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
+    # Written first, so that both sides of the join are plain shuffles, which Spark can split where
+    # a pair that a third of all documents have is hot.
+    shared = cut_lineage(pairs.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"))
     kept = COORDINATES + 1 - settings.agree
     held = pairs.join(shared, "list").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("n", "list"))).alias("at"))
     prefix = F.slice("at", F.lit(1), F.greatest(F.lit(0), F.size("at") - (COORDINATES - kept)))
@@ -279,7 +281,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     signed = cut_lineage(signatures(docs, settings))
     full = signed.where("n_shingles > 0")
     # Classes of equal sets, each under its least document.
-    classes = full.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("doc"))
+    classes = cut_lineage(full.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("doc")))
     member = cut_lineage(
         full.select("doc_id", "set_hash", "n_shingles").join(classes, ["set_hash", "n_shingles"])
         .select("doc_id", "set_hash", "n_shingles", "doc")
