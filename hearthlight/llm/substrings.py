@@ -241,10 +241,10 @@ def window_repeats(suffixes: DataFrame, window: int, prefix: int) -> DataFrame:
         work, "head bigint, key bigint, least bigint, content bigint, bit bigint"
     ))
     first = windows.groupBy("head", "content").agg(F.min("least").alias("first"))
-    bits = windows.join(first, ["head", "content"]).groupBy("head", "key", "least").agg(
+    bits = cut_lineage(windows.join(first, ["head", "content"]).groupBy("head", "key", "least").agg(
         F.bit_or("bit").alias("there"),
         F.bit_or(F.when(F.col("first") < F.col("least"), F.col("bit")).otherwise(0)).alias("lesser"),
-    )
+    ))
     return suffixes.select("head", "key", "doc_id", "at").join(bits, ["head", "key"]).select(
         "doc_id", "at", F.when(F.col("doc_id") > F.col("least"), F.col("there")).otherwise(F.col("lesser")).alias("windows")
     ).where("windows != 0")
@@ -286,9 +286,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     """doc_id, n_words, n_removed, kept_sha256, kept_text: every word is removed that lies in a
     window which also stands in a document with a lesser id."""
     suffixes = cut_lineage(marked_suffixes(docs, window, prefix))
-    shared = suffixes.groupBy("head").agg(
+    # Written first, so that both sides of the join are plain shuffles, which Spark can split where
+    # a prefix is hot.
+    shared = cut_lineage(suffixes.groupBy("head").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")
-    ).where("low < high").select("head", "n")
+    ).where("low < high").select("head", "n"))
     marked = cut_lineage(suffixes.join(shared, "head"))
     texts = docs.select("doc_id", text_or_empty().alias("text"))
 
