@@ -108,10 +108,12 @@ def running(rows: DataFrame, value: str, out: str, order: list[str]) -> DataFram
     )
     offsets = sums.select(
         "gid", "coarse", "fine", F.coalesce(F.sum("v").over(in_coarse), zero).alias("mid")
-    ).join(tops, ["gid", "coarse"]).select("gid", "fine", (F.col("mid") + F.col("top")).alias("offset"))
+    ).hint("merge").join(tops, ["gid", "coarse"]).select("gid", "fine", (F.col("mid") + F.col("top")).alias("offset"))
+    # Rows may unfold from few: Spark's estimate of their size, by the file they come from, must not
+    # lead to a broadcast.
     return (
         rows.withColumn("inner", F.coalesce(F.sum(value).over(inner), zero))
-        .join(offsets, ["gid", "fine"])
+        .hint("merge").join(offsets, ["gid", "fine"])
         .withColumn(out, F.col("inner") + F.col("offset"))
         .drop("fine", "coarse", "inner", "offset")
     )
@@ -276,10 +278,11 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> Mix:
         F.expr(f"if(epoch < passes, {words}L, least({words}L, rest - rank * {words}))").alias("limit"),
     )
     shares = split_quotas(sources.select("sid", "draws"), int(shards), int(draws), seed)
-    dealt = shares.select("shard", "sid", F.explode(F.expr("sequence(first, first + quota - 1)")).alias("draw"))
-    taken = dealt.join(drawn, ["sid", "draw"])
+    # Few rows unfold into all draws, so they are dealt over the cluster first.
+    dealt = shares.repartition(partitions(spark), "shard").select("shard", "sid", F.explode(F.expr("sequence(first, first + quota - 1)")).alias("draw"))
+    taken = dealt.hint("merge").join(drawn, ["sid", "draw"])
 
-    pieces = held.join(taken, ["sid", "block"]).select(
+    pieces = held.hint("merge").join(taken, ["sid", "block"]).select(
         "shard", "sid", "draw", "epoch", "doc_id", "copy", "first", "size",
         F.expr(f"greatest(first, block * {words})").alias("from"),
         F.expr(f"least(first + size, block * {words} + limit)").alias("to"),
