@@ -122,6 +122,12 @@ def test_held_out_labels_change_nothing(labelled):
     assert toxicity.training_rows(docs, other) == toxicity.training_rows(docs, labels)
 
 
+def test_sample_of_six_thousand(spark):
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    texts, _ = toxicity.training_rows(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert 5700 <= len(texts) <= 6300
+
+
 def test_gaps_and_inserted_letters(labelled):
     rows, *_ = labelled
     model = toxicity.train([t for _, t, _ in rows], [y for *_, y in rows])
