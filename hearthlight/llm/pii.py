@@ -4,7 +4,7 @@ The patterns give the base spans: e-mail and IP addresses, card numbers and tele
 leftmost first. The field adds what is written differently: an address with its signs spelled out, a
 number without the plus, an address with spaces. It labels tokens by their shapes (letters, digits
 and signs, their lengths, and words such as "at" or "tel") and those of their neighbours, is trained
-on the small labelled table below, and is decoded by Viterbi for many sentences at a time.
+on the small labelled table below, and is decoded by Viterbi for many sentences at a time (very long ones alone, in blocks).
 
 A span must hold a token that is more than plain letters and separators, so only the stretches of
 text around such tokens are decoded: elsewhere every label is "other". What the field finds is kept
@@ -20,14 +20,19 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hearthlight.llm.shingles import runs
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -100,6 +105,9 @@ _SIGNS = frozenset("@.()[]{}-/+:,;=_")
 _SPELLED = frozenset("dot punkt punto arroba arobase".split())
 _LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _REACH = 12
+#: Steps (stretches times the tokens of the longest) that are decoded together at most; a longer
+#: stretch is decoded alone, in blocks of so many tokens, seen with so many on either side.
+STEPS, _BLOCK, _SEEN = 1 << 17, 1 << 14, 16
 
 
 def _shape(token: str) -> str:
@@ -220,8 +228,16 @@ def viterbi(field: Field, scores: list[np.ndarray]) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, int)] * len(scores)
     order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
     k = len(_LABELS)
-    for at in range(0, len(order), 256):
-        part = order[at:at + 256]
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and end - at < 256 and (end - at + 1) * len(scores[order[end]]) <= STEPS:
+            end += 1
+        part = order[at:end]
+        at = end
+        if len(scores[part[-1]]) > STEPS:
+            out[part[0]] = best_path(field, [scores[part[0]]], len(scores[part[0]]))
+            continue
         size = np.array([len(scores[i]) for i in part])
         emit = np.zeros((len(part), size.max(), k))
         for row, i in enumerate(part):
@@ -243,6 +259,35 @@ def viterbi(field: Field, scores: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def best_path(field: Field, blocks: Iterable[np.ndarray], n: int) -> np.ndarray:
+    """Best labels of one stretch of ``n`` tokens, whose scores come in blocks."""
+    back = np.zeros((n, len(_LABELS)), np.int8)
+    best, t = field.start, 0
+    for scores in blocks:
+        for score in scores:
+            if t:
+                step = best[:, None] + field.move
+                back[t] = step.argmax(0)
+                best = step.max(0)
+            best = best + score
+            t += 1
+    path = np.zeros(n, np.int8)
+    label = int(best.argmax())
+    for t in range(n - 1, -1, -1):
+        path[t] = label
+        label = back[t, label]
+    return path
+
+
+def _emission_blocks(field: Field, text: str, starts: np.ndarray) -> Iterator[np.ndarray]:
+    n = len(starts) - 1
+    for a in range(0, n, _BLOCK):
+        low, high = max(0, a - _SEEN), min(n, a + _BLOCK + _SEEN)
+        at = starts[low:high + 1].tolist()
+        scores = field.emissions([_shape(text[x:y]) for x, y in zip(at, at[1:])])  # noqa: B905
+        yield scores[a - low:min(n, a + _BLOCK) - low]
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -282,18 +327,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _stretches(text: str) -> Iterator[tuple[list[int], list[str]]]:
-    """Starts and texts of the tokens around those that a span must hold."""
-    tokens = [(m.start(), m[0]) for m in _TOKEN.finditer(text)]
-    hot = [i for i, (_, t) in enumerate(tokens) if t[0].isdigit() or t[0] == "@" or t.lower() in _SPELLED or (t in "([{" and i + 1 < len(tokens) and tokens[i + 1][1].lower() in ("at", "dot"))]
+def _token_starts(text: str) -> np.ndarray:
+    """Where the tokens start, and the end of the text: each token ends where the next one starts."""
+    starts = array("q", (m.start() for m in _TOKEN.finditer(text)))
+    starts.append(len(text))
+    return np.frombuffer(starts, np.int64)
+
+
+def _stretches(text: str, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last token (exclusive) of the surroundings of those that a span must hold."""
+    hot, n = array("q"), len(starts) - 1
+    opened = False  # the token before is a bracket
+    for i, m in enumerate(_TOKEN.finditer(text)):
+        token = m[0]
+        lower = token.lower()
+        if opened and lower in ("at", "dot"):
+            hot.append(i - 1)
+        opened = token in "([{"
+        if token[0].isdigit() or token[0] == "@" or lower in _SPELLED:
+            hot.append(i)
     i = 0
     while i < len(hot):
         low, high = max(0, hot[i] - _REACH), hot[i] + _REACH + 1
         while i + 1 < len(hot) and hot[i + 1] - _REACH <= high:
             i += 1
             high = hot[i] + _REACH + 1
-        part = tokens[low:high]
-        yield [s for s, _ in part], [t for _, t in part]
+        yield low, min(high, n)
         i += 1
 
 
@@ -320,13 +379,11 @@ def find_spans(texts: list[str | None], field: Field) -> list[tuple[list[tuple[i
     """Base spans and all spans of each text."""
     base = [base_spans(t) if t and _SOME.search(t) else [] for t in texts]
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    where, scores = [], []
-    for k, text in enumerate(texts):
-        if text and _may_hold(text):
-            for starts, tokens in _stretches(text):
-                where.append((k, starts, tokens))
-                scores.append(field.emissions([_shape(t) for t in tokens]))
-    for (k, starts, tokens), labels in zip(where, viterbi(field, scores), strict=True):
+    # Of base spans in order: where they start, and how far those up to each one reach.
+    opens = [[s for s, _, _ in spans] for spans in base]
+    reached = [list(accumulate((e for _, _, e in spans), max)) for spans in base]
+
+    def keep(k: int, starts: np.ndarray, labels: np.ndarray) -> None:
         i = 0
         while i < len(labels):
             label = _LABELS[labels[i]]
@@ -334,14 +391,34 @@ def find_spans(texts: list[str | None], field: Field) -> list[tuple[list[tuple[i
             if label[0] == "B":
                 while j < len(labels) and _LABELS[labels[j]] == "I" + label[1:]:
                     j += 1
-                a, b = starts[i], starts[j - 1] + len(tokens[j - 1])
+                a, b = int(starts[i]), int(starts[j])
                 text = texts[k][a:b]
                 a, b = a + len(text) - len(text.lstrip()), b - (len(text) - len(text.rstrip()))
                 kind = KINDS.index(label[2:])
-                apart = all(b <= s or e <= a for s, _, e in base[k])
+                before = bisect_left(opens[k], b)
+                apart = before == 0 or reached[k][before - 1] <= a
                 if apart and _plausible(kind, texts[k][a:b]):
                     found[k].append((a, kind, b))
             i = j
+
+    where, scores, waiting = [], [], 0
+    for k, text in enumerate(texts):
+        if text and _may_hold(text):
+            every = _token_starts(text)
+            for a, b in _stretches(text, every):
+                starts = every[a:b + 1].copy()
+                if b - a > STEPS:
+                    keep(k, starts, best_path(field, _emission_blocks(field, text, starts), b - a))
+                    continue
+                if waiting + b - a > STEPS:
+                    for (m, at), labels in zip(where, viterbi(field, scores), strict=True):
+                        keep(m, at, labels)
+                    where, scores, waiting = [], [], 0
+                where.append((k, starts))
+                scores.append(np.concatenate([*_emission_blocks(field, text, starts)]))
+                waiting += b - a
+    for (m, at), labels in zip(where, viterbi(field, scores), strict=True):
+        keep(m, at, labels)
     return [(b, sorted({*b, *f})) for b, f in zip(base, found, strict=True)]
 
 
@@ -362,8 +439,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for a, b in runs(batch.column("text")):
+                part = batch.slice(a, b - a)
                 found = find_spans(part.column("text").to_pylist(), field)
                 counts = [[sum(s[1] == kind for s in base) for base, _ in found] for kind in range(4)]
                 yield pa.RecordBatch.from_arrays([

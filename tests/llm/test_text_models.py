@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -73,6 +74,29 @@ def test_viterbi_finds_the_best_path(field):
         assert value(tuple(path)) == pytest.approx(best)
 
 
+def test_long_stretches_are_decoded_in_blocks(field, monkeypatch):
+    """In bounded memory, and with the labels and spans of all steps at once."""
+    rng = np.random.default_rng(5)
+    scores = [rng.normal(size=(n, len(field.start))) for n in (1, 7, 40, 41, 300, 2)]
+    table = "tel 0171 5550 122, 10 dot 0 dot 12 dot 7; 4111.1111.1111.1111 and 12 of 19.99 at a@b.co\n" * 40
+    whole, spans = pii.viterbi(field, scores), pii.find_spans([table, "Tel. (415) 555 0132", table[:900]], field)
+    assert len(spans[0][1]) > len(spans[0][0]) > 0
+    monkeypatch.setattr(pii, "STEPS", 64)
+    monkeypatch.setattr(pii, "_BLOCK", 50)
+    assert all((a == b).all() for a, b in zip(whole, pii.viterbi(field, scores), strict=True))
+    assert pii.find_spans([table, "Tel. (415) 555 0132", table[:900]], field) == spans
+
+
+def test_memory_of_very_long_texts(field):
+    short = [np.zeros((20, len(field.start)))] * 255
+    tracemalloc.start()
+    try:
+        pii.viterbi(field, [*short, np.zeros((60_000, len(field.start)))])
+        assert tracemalloc.get_traced_memory()[1] < 100e6  # 256 rows of that length take 1.1 GB
+    finally:
+        tracemalloc.stop()
+
+
 def test_pii_rows(docs, repeated, nothing, rows):
     extra = docs.sparkSession.createDataFrame(
         [(1_000, "a@b.co +1 (212) 555-0188 😀 10.0.0.1"), (1_001, None), (1_002, "x@y " * 5000)], "doc_id bigint, text string")
