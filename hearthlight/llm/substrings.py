@@ -17,7 +17,7 @@ window is a group of its own, of which an aggregate keeps the least document.
 
 Defined results: a null text has no words; documents shorter than a window keep all their words;
 rows that repeat a document id are the same document, so they do not repeat each other, and are
-judged one by one; extra columns are ignored; an empty table gives an empty result.
+judged one by one, each by its own text; a row without an id keeps all its words; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -65,31 +65,46 @@ def marks(hashes: np.ndarray, owner: np.ndarray, window: int, prefix: int) -> tu
     return at, heads[at]
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, text and tag: a hash of the text where an id has several texts, otherwise 0."""
+    texts, own = docs.select("doc_id", text_or_empty().alias("text")), F.xxhash64("text")
+    several = cut_lineage(
+        texts.groupBy("doc_id").agg(F.min(own).alias("low"), F.max(own).alias("high"))
+        .where("low < high").select("doc_id", F.lit(True).alias("several"))
+    )
+    if several.isEmpty():
+        return texts.withColumn("tag", F.lit(0).cast("long"))
+    return texts.join(several, "doc_id", "left").select(
+        "doc_id", "text", F.when(F.col("several"), own).otherwise(0).alias("tag")
+    )
+
+
 def marked_suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, ids = batch.column("text"), batch.column("doc_id")
+            column, ids, tags = batch.column("text"), batch.column("doc_id"), batch.column("tag")
             for a, b in runs(column):
                 words = words_of(column.slice(a, b - a))
                 owner = words.owner
                 at, heads = marks(words.hashes, owner, window, prefix)
+                rows = pa.array(owner[at])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(heads.view(np.int64)), ids.slice(a, b - a).take(pa.array(owner[at])),
+                    pa.array(heads.view(np.int64)), ids.slice(a, b - a).take(rows), tags.slice(a, b - a).take(rows),
                     pa.array((at - words.first[owner[at]]).astype(np.int32)),
-                ], ["head", "doc_id", "at"])
+                ], ["head", "doc_id", "tag", "at"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "head bigint, doc_id bigint, at int")
+    return docs.select("doc_id", "tag", "text").mapInArrow(work, "head bigint, doc_id bigint, tag bigint, at int")
 
 
 def with_contexts(rows: DataFrame, window: int, prefix: int) -> DataFrame:
-    """One row a suffix: head, doc_id, at, n, before (words of the context before the suffix), key
+    """One row a suffix: head, doc_id, tag, at, n, before (words of the context before the suffix), key
     (hash of the context) and the context, once a task for each."""
     reach = window - prefix
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.string())
-        names = ["head", "doc_id", "at", "n", "before", "key", "context"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.string())
+        names = ["head", "doc_id", "tag", "at", "n", "before", "key", "context"]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
@@ -98,7 +113,7 @@ def with_contexts(rows: DataFrame, window: int, prefix: int) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for k in range(batch.num_rows):
-                doc, words = batch.column("doc_id")[k].as_py(), (batch.column("text")[k].as_py() or "").encode().split()
+                doc, tag, words = batch.column("doc_id")[k].as_py(), batch.column("tag")[k].as_py(), (batch.column("text")[k].as_py() or "").encode().split()
                 for m in batch.column("marks")[k].as_py():
                     at, before = m["at"], min(m["at"], reach)
                     context = b" ".join(words[at - before:at + window])
@@ -106,7 +121,7 @@ def with_contexts(rows: DataFrame, window: int, prefix: int) -> DataFrame:
                     first = (m["head"], key) not in seen
                     if first:
                         seen.add((m["head"], key))
-                    out.append((m["head"], doc, at, m["n"], before, key, context.decode() if first else None))
+                    out.append((m["head"], doc, tag, at, m["n"], before, key, context.decode() if first else None))
                 if len(out) >= CHUNK:
                     yield batch_of(out)
                     out = []
@@ -114,8 +129,8 @@ def with_contexts(rows: DataFrame, window: int, prefix: int) -> DataFrame:
                     seen.clear()
             yield batch_of(out)
 
-    return rows.select("doc_id", "text", "marks").mapInArrow(
-        work, "head bigint, doc_id bigint, at int, n bigint, before int, key bigint, context string"
+    return rows.select("doc_id", "tag", "text", "marks").mapInArrow(
+        work, "head bigint, doc_id bigint, tag bigint, at int, n bigint, before int, key bigint, context string"
     )
 
 
@@ -174,7 +189,7 @@ def repeated(heads: np.ndarray, docs: np.ndarray, contexts: pa.Array, before: np
 
 
 def tree_repeats(suffixes: DataFrame, window: int, prefix: int) -> DataFrame:
-    """doc_id, at, windows (bits), of marked suffixes that lie in a repeat."""
+    """doc_id, tag, at, windows (bits), of marked suffixes that lie in a repeat."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(groups: list[pa.Table]) -> pa.RecordBatch:
             table = pa.concat_tables(groups).combine_chunks()
@@ -197,8 +212,8 @@ def tree_repeats(suffixes: DataFrame, window: int, prefix: int) -> DataFrame:
             bits = np.where(doc > least[which], there[which], lesser[which])
             hit = np.flatnonzero(bits)
             return pa.RecordBatch.from_arrays(
-                [pa.array(doc[hit]), table.column("at").combine_chunks().take(pa.array(hit)), pa.array(bits[hit])],
-                ["doc_id", "at", "windows"],
+                [pa.array(doc[hit]), *(table.column(c).combine_chunks().take(pa.array(hit)) for c in ("tag", "at")), pa.array(bits[hit])],
+                ["doc_id", "tag", "at", "windows"],
             )
 
         held, n = [], 0
@@ -211,7 +226,7 @@ def tree_repeats(suffixes: DataFrame, window: int, prefix: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return suffixes.mapInArrow(work, "doc_id bigint, at int, windows bigint")
+    return suffixes.mapInArrow(work, "doc_id bigint, tag bigint, at int, windows bigint")
 
 
 def window_repeats(suffixes: DataFrame, window: int, prefix: int) -> DataFrame:
@@ -245,8 +260,8 @@ def window_repeats(suffixes: DataFrame, window: int, prefix: int) -> DataFrame:
         F.bit_or("bit").alias("there"),
         F.bit_or(F.when(F.col("first") < F.col("least"), F.col("bit")).otherwise(0)).alias("lesser"),
     ))
-    return suffixes.select("head", "key", "doc_id", "at").join(bits, ["head", "key"]).select(
-        "doc_id", "at", F.when(F.col("doc_id") > F.col("least"), F.col("there")).otherwise(F.col("lesser")).alias("windows")
+    return suffixes.select("head", "key", "doc_id", "tag", "at").join(bits, ["head", "key"]).select(
+        "doc_id", "tag", "at", F.when(F.col("doc_id") > F.col("least"), F.col("there")).otherwise(F.col("lesser")).alias("windows")
     ).where("windows != 0")
 
 
@@ -285,18 +300,18 @@ def without_repeats(rows: DataFrame, window: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text: every word is removed that lies in a
     window which also stands in a document with a lesser id."""
-    suffixes = cut_lineage(marked_suffixes(docs, window, prefix))
+    texts = tagged(docs)
+    suffixes = cut_lineage(marked_suffixes(texts, window, prefix))
     # Written first, so that both sides of the join are plain shuffles, which Spark can split where
     # a prefix is hot.
     shared = cut_lineage(suffixes.groupBy("head").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")
     ).where("low < high").select("head", "n"))
     marked = cut_lineage(suffixes.join(shared, "head"))
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
 
     def contexts(some: DataFrame) -> DataFrame:
-        by_document = some.groupBy("doc_id").agg(F.collect_set(F.struct("head", "at", "n")).alias("marks"))
-        return with_contexts(texts.join(by_document, "doc_id"), window, prefix)
+        by_document = some.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("head", "at", "n")).alias("marks"))
+        return with_contexts(texts.join(by_document, ["doc_id", "tag"]), window, prefix)
 
     found = tree_repeats(
         contexts(marked.where(F.col("n") <= group)).repartition("head").sortWithinPartitions("head", "doc_id", "at"),
@@ -305,6 +320,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     large = marked.where(F.col("n") > group)
     if not large.isEmpty():
         found = found.unionByName(window_repeats(contexts(large), window, prefix))
-    repeats = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "windows")).alias("repeats"))
-    return without_repeats(texts.join(repeats, "doc_id", "left"), window)
+    repeats = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "windows")).alias("repeats"))
+    return without_repeats(texts.join(repeats, ["doc_id", "tag"], "left"), window)
 

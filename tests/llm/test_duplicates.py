@@ -157,3 +157,17 @@ def test_passages_repeated_rows_and_empty(repeated, nothing, rows):
     found = substrings.remove_repeats(repeated)
     assert found.count() == 2 * len(rows) and as_set(found) == brute_passages(rows, 50)
     assert substrings.remove_repeats(nothing).count() == 0
+
+
+@pytest.mark.parametrize("group", [100_000, 1])
+def test_passages_of_one_id_with_several_texts(spark, group):
+    """Each text loses the words that it repeats, not those that stand where the other one repeats."""
+    passage, other = [f"p{i}" for i in range(60)], [f"q{i}" for i in range(100)]
+    rows = [
+        (1, " ".join(passage)), (2, " ".join(["x"] * 3 + passage)), (2, " ".join(other)), (2, " ".join(other)), (2, " ".join(other[:20])),
+        (2, None), (3, " ".join(other)), (None, " ".join(passage)), (None, " ".join(other)),
+    ]
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), group=group).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in found) == [
+        (0, 60, 0), (0, 100, 0), (1, 60, 0), (2, 0, 0), (2, 20, 0), (2, 63, 60), (2, 100, 0), (2, 100, 0), (3, 100, 100),
+    ]
