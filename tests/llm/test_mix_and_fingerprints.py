@@ -228,6 +228,36 @@ def test_pipeline_drops_toxic_documents(spark, docs, folder, monkeypatch):
     assert stages.toxicity(spark, docs, folder).count() == docs.count()
 
 
+def test_stages_choose_rows(spark, docs):
+    """Repeated rows, ids with several texts and rows without an id."""
+    long = [" ".join(f"{c}{i}" for i in range(80)) for c in "abcdef"]
+    rows = [
+        (1, long[0]), (1, long[0]),  # one row, repeated whole
+        (2, long[1]), (2, long[2]), (5, long[1].upper()),  # the first text of 2 is a copy of 5's
+        (None, long[3]), (None, long[3]), (None, long[4]), (None, long[0]),
+        (3, long[5] + " x"), (3, long[5] + " y"), (4, long[5] + " z"),  # near copies
+        (None, None), (7, ""),
+    ]
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], docs.schema)
+
+    def pairs(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    exact = stages.exact(spark, frame, "")
+    want = [
+        (1, long[0]), (2, long[2]), (5, long[1].upper()), (None, long[3]), (None, long[4]),
+        (3, long[5] + " x"), (3, long[5] + " y"), (4, long[5] + " z"), (7, ""),
+    ]
+    assert pairs(exact) == sorted(want, key=str)
+    near = stages.near(spark, exact, "")
+    kept = pairs(near)
+    assert len(kept) == 7 and len({t for d, t in kept if d == 3} & {long[5] + " x", long[5] + " y"}) == 1
+    assert {p for p in kept if p[0] != 3} == {p for p in want if p[0] not in (3, 4)}
+    # Rows of the same text under one id or none are one row of the near stage as well.
+    assert len(pairs(stages.near(spark, frame, ""))) == 8
+    mixed = stages.mixing(spark, near, "")
+    assert {(d, t) for d, t in pairs(mixed) if d is None} == {(None, long[3]), (None, long[4])}
+
+
 def test_pipeline_on_an_empty_table(spark, nothing, tmp_path):
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
