@@ -6,6 +6,7 @@ The expressions are shared where both engines read them the same way. Texts are
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hearthlight.labels import LABELS, NEGATIVE
 
@@ -186,13 +187,12 @@ class Views:
     @property
     def interactions(self) -> DataFrame:
         documents = self.table("documents").select("doc_id", "text", "source")
-        source = self.table("events")
-        # The slim event rows are dealt over the cores before texts join them.
+        # Joined rows follow the splits of the texts: where splits are few (and one row group may be all of them), texts are dealt out.
         cores = self.spark.sparkContext.defaultParallelism
-        events = source.repartition(cores).selectExpr("*", f"event_id % {documents.count()} AS doc")
-        rows = events.alias("e").join(
-            documents.alias("x"), documents["doc_id"] == events["doc"]
-        )
+        if documents.rdd.getNumPartitions() <= cores:
+            documents = documents.repartition(cores, "doc_id")
+        events = self.table("events").selectExpr("*", f"event_id % {documents.count()} AS doc")
+        rows = events.alias("e").join(documents.alias("x"), F.col("x.doc_id") == F.col("e.doc"))
         return rows.selectExpr(*[f"{expr} AS {n}" for n, expr in INTERACTION_COLUMNS.items()])
 
     @property

@@ -159,3 +159,9 @@ def test_a_cluster_must_name_its_folder(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(fake)
 
+
+
+def test_the_interactions_view_is_spread_over_the_cores(spark):
+    rows = Views(spark, "/root/testdata/sf0.1").interactions.select("content")
+    counts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) >= spark.sparkContext.defaultParallelism / 2 and max(counts) < sum(counts) / 4
