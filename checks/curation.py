@@ -18,6 +18,8 @@ from hearthlight.functions import text as T
 from hearthlight.functions import weeks as W
 from hearthlight.operators import dedup, distress, evaluation, fraud, metrics, sampling, training
 from hearthlight.session import cut_lineage, new_folder
+from hearthlight.sources import sinks
+from hearthlight.sources.commits import FolderTable
 from hearthlight.streaming import jobs as streams
 
 SIZE = 300
@@ -189,14 +191,14 @@ def _source(v: Views, frame, name: str):
 
 
 def _late_source(v: Views, rows):
-    """Several files, newest rows first, one file a batch."""
-    path = new_folder(v.spark, "late")
-    parts = 4
+    """Newest rows first, a quarter of them a batch."""
+    path, parts = new_folder(v.spark, "late"), 4
     cut = F.pmod(F.weekofyear("activity_date"), F.lit(parts))
     for part in range(parts - 1, -1, -1):
-        rows.filter(cut == part).coalesce(1).write.mode("append").parquet(path)
-    schema = v.spark.read.parquet(path).schema
-    return v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.filter(cut == part).write.mode("append").parquet(path)
+    written = v.spark.read.parquet(path)
+    files = -(-len(written.inputFiles()) // parts)
+    return v.spark.readStream.schema(written.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _run(writer, v: Views) -> None:
@@ -215,25 +217,51 @@ def _(v):
     return v.spark.read.parquet(path)
 
 
-@check("j2_stream_weekly_health", f"""SELECT {O.week_key('h.monday')} AS week_key, n.c AS interactions, round(h.health, 2) AS
-  health_score FROM health h JOIN (SELECT {O.monday('ts')} AS monday, count(*) AS c FROM events GROUP BY 1) n USING (monday)""",
-       ("health",))
-def _(v):
-    rows = v.table("events").select(F.col("event_id").alias("interaction_id"),
+_WEEKLY = f"""SELECT {O.week_key('h.monday')} AS week_key, n.c AS interactions, round(h.health, 2) AS
+  health_score FROM health h JOIN (SELECT {O.monday('ts')} AS monday, count(*) AS c FROM events GROUP BY 1) n USING (monday)"""
+
+
+def _scored(v: Views):
+    return v.table("events").select(F.col("event_id").alias("interaction_id"),
                                     F.col("ts").cast("timestamp").alias("activity_date")).join(
         v.scores, "interaction_id")
+
+
+@check("j2_stream_weekly_health", _WEEKLY, ("health",))
+def _(v):
     path = new_folder(v.spark, "weekly")
-    _run(streams.log_weekly(_late_source(v, rows), path), v)
+    _run(streams.log_weekly(_late_source(v, _scored(v)), path), v)
     return streams.read_weekly(v.spark.read.parquet(path)).select(
         "week_key", "interactions", "health_score")
 
 
-@check("j3_stream_latest", """SELECT interaction_id, discussion_id FROM (SELECT *, row_number() OVER (PARTITION BY
+@check("j2_event_time_weeks", _WEEKLY, ("health",))
+def _(v):
+    cells, weeks = new_folder(v.spark, "cells"), new_folder(v.spark, "weeks")
+    _run(streams.upsert_weeks(_late_source(v, _scored(v)), cells, weeks, "base"), v)
+    return sinks.Snapshots(v.spark, weeks).read().select(
+        "week_key", F.col("comment_count").alias("interactions"), F.col("score").alias("health_score"))
+
+
+_LATEST = """SELECT interaction_id, discussion_id FROM (SELECT *, row_number() OVER (PARTITION BY
   discussion_id ORDER BY discussion_created_at DESC, interaction_id DESC) AS rn FROM forum WHERE discussion_id IS NOT NULL)
-  WHERE rn = 1""", ("forum",))
+  WHERE rn = 1"""
+
+
+@check("j3_stream_latest", _LATEST, ("forum",))
 def _(v):
     rows = v.forum.filter("discussion_id IS NOT NULL").select(
         "interaction_id", "discussion_id", "discussion_created_at")
     path = new_folder(v.spark, "latest")
     _run(streams.latest_comments(_source(v, rows, "comments"), path), v)
     return streams.read_latest(v.spark.read.parquet(path)).select("interaction_id", "discussion_id")
+
+
+@check("j3_keyed_latest", _LATEST, ("forum",))
+def _(v):
+    rows = v.forum.filter("discussion_id IS NOT NULL").select(
+        "interaction_id", "discussion_id", "discussion_created_at")
+    path = new_folder(v.spark, "latest")
+    _run(streams.keep_latest(_source(v, rows, "comments").select("*"), path), v)
+    latest = streams.latest_discussions(FolderTable(v.spark, path), rows.schema)
+    return latest.select("interaction_id", "discussion_id")

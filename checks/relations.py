@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from checks import oracle as O
 from checks.inputs import (
-    COUNSEL, SNAPSHOTS, STAFF, counsel_rows, report_rows, reviewed, severe_rows, snapshots,
+    COUNSEL, SNAPSHOTS, STAFF, counsel_rows, report_rows, reviewed, severe_rows, snapshot_log, snapshots,
 )
 from checks.registry import check
 from checks.rules_checks import master_rows, pairs, routed, verified_rows
 from hearthlight import labels as L
+from hearthlight import schema
 from hearthlight.functions import text as T
 from hearthlight.functions import weeks as W
 from hearthlight.operators import dedup, distress, evaluation, fraud, metrics, training, trends
+from hearthlight.session import cut_lineage, new_folder
 from hearthlight.sources import interactions as ingest
+from hearthlight.sources import sinks
+from hearthlight.sources.master import Master
 
 
 @check("e1_interactions_scores", "SELECT interaction_id, commenter_name, round(sadness, 12) AS sadness, "
@@ -296,6 +301,14 @@ BATCH = f"""batch AS (SELECT interaction_id + 1000000 AS row_no, {O.text_hash(O.
   FROM interactions)"""
 
 
+def stored_master(v) -> Master:
+    """The master as a table of its own, with its first batch."""
+    fields = T_.StructType([T_.StructField("row_no", T_.LongType()), T_.StructField("text_hash", T_.StringType())])
+    table = Master(v.spark, new_folder(v.spark, "master"), fields)
+    table.append(master_rows(v), "first", ["row_no"])
+    return table
+
+
 @check("h4_master_append", f"""WITH {BATCH}, both_rows AS (SELECT row_no, text_hash, 0 AS r FROM master UNION ALL SELECT
   row_no, text_hash, 1 FROM batch) SELECT row_no, text_hash FROM (SELECT *, row_number() OVER (PARTITION BY text_hash
   ORDER BY r, row_no) AS rn FROM both_rows) WHERE rn = 1""", ("interactions", "master"))
@@ -303,6 +316,39 @@ def _(v):
     return training.merged_master(batch_rows(v), master_rows(v), ["row_no"]).select("row_no", "text_hash")
 
 
+@check("h4_committed_append", f"""WITH {BATCH}, both_rows AS (SELECT row_no, text_hash, 0 AS r FROM master UNION ALL SELECT
+  row_no, text_hash, 1 FROM batch) SELECT row_no, text_hash FROM (SELECT *, row_number() OVER (PARTITION BY text_hash
+  ORDER BY r, row_no) AS rn FROM both_rows) WHERE rn = 1""", ("interactions", "master"))
+def _(v):
+    table, batch = stored_master(v), cut_lineage(batch_rows(v))
+    odd = F.col("row_no") % 2 == 1
+    first = batch.groupBy("text_hash").agg(F.min("row_no").alias("row_no"))  # halves of unlike keys
+    for name, rows in (("odd", first.where(odd)), ("even", first.where(~odd)), ("odd", first)):
+        table.append(rows, name, ["row_no"])
+    table.compact()
+    return table.rows()
+
+
+@check("e5_indexed_exclusion", f"""WITH {HASHED} SELECT interaction_id, text_hash FROM hashed WHERE text_hash NOT IN
+  (SELECT text_hash FROM master)""", ("interactions", "master"))
+def _(v):
+    return stored_master(v).unknown_rows(hashed(v)).select("interaction_id", "text_hash")
+
+
+@check("a13_compacted_snapshots", f"WITH {SNAPSHOTS} SELECT week_key, severe_count, round(score, 4) AS score, model_id FROM snaps")
+def _(v):
+    log, names = snapshot_log(v), schema.SNAPSHOT.fieldNames()
+    own = (F.col("event_type") == "error") & (F.col("user_id") % 5 == 0)
+    stored = sinks.Snapshots(v.spark, new_folder(v.spark, "snapshots"))
+    for part in range(3):
+        rows = log.filter(~own & (F.col("user_id") % 3 == part)).select(*names)
+        stored.append(rows, f"part {part}")
+        stored.append(rows, f"part {part}")  # sent again
+        stored.compact()
+    latest = trends.latest_snapshots(stored.read(), log.filter(own).select(*names))
+    return latest.select("week_key", F.col("severe_count").cast("bigint"), F.round("score", 4).alias("score"), "model_id")
+
+
 @check("h4_appended_rows", f"""WITH {BATCH}, known AS (SELECT text_hash FROM master WHERE text_hash IS NOT NULL) SELECT
   min(row_no) AS row_no, text_hash FROM batch WHERE text_hash NOT IN (SELECT text_hash FROM known) GROUP BY text_hash""",
        ("interactions", "master"))

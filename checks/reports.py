@@ -10,7 +10,7 @@ from checks import oracle as O
 from checks.inputs import STAFF, reviewed, severe_rows
 from checks.registry import check
 from checks.relations import (
-    BATCH, EMOTION_TREND, MEMBERS, _MEANS, batch_rows, members, weekly,
+    BATCH, EMOTION_TREND, MEMBERS, _MEANS, batch_rows, members, stored_master, weekly,
 )
 from checks.rules_checks import master_rows, pairs, routed, taught, training_rows, verified_rows
 from checks.views import Views
@@ -250,14 +250,23 @@ def _(v):
     return evaluation.set_metrics(members(v))
 
 
-@check("g20_append_stats", f"""WITH {BATCH}, fresh AS (SELECT DISTINCT text_hash FROM batch WHERE text_hash NOT IN (SELECT
+_ADDED = f"""WITH {BATCH}, fresh AS (SELECT DISTINCT text_hash FROM batch WHERE text_hash NOT IN (SELECT
   text_hash FROM master)) SELECT (SELECT count(*) FROM fresh) AS added_rows, (SELECT count(*) FROM fresh) + (SELECT
-  count(DISTINCT text_hash) FROM master) AS total_rows, (SELECT count(*) FROM fresh) AS new_key_count""",
-       ("interactions", "master"))
+  count(DISTINCT text_hash) FROM master) AS total_rows, (SELECT count(*) FROM fresh) AS new_key_count"""
+
+
+@check("g20_append_stats", _ADDED, ("interactions", "master"))
 def _(v):
     return training.append_stats(batch_rows(v), master_rows(v))
 
 
+@check("g20_committed_stats", _ADDED, ("interactions", "master"))
+def _(v):
+    done = stored_master(v).append(batch_rows(v), "week", ["row_no"])
+    return v.spark.createDataFrame(
+        [(done.added_rows, done.total_rows, done.added_rows)], "added_rows bigint, total_rows bigint, new_key_count bigint")
+
+
 SUMMARY = f"""WITH counts AS (SELECT monday, count(*) AS interactions, count(*) FILTER (WHERE mild) AS mild_candidates,
   count(*) FILTER (WHERE top_score > 0 AND list_contains([{', '.join(map(O.q, L.NEGATIVE))}], top_label)) AS negative_dominant
   FROM wk GROUP BY 1), fraud AS (SELECT {O.monday('activity_date')} AS monday, count(*) AS fraud_flags FROM routed WHERE

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import oracle as O
 from checks.inputs import STAFF, piped, reviewed, severe_rows
 from checks.registry import check
+from checks.views import BucketedViews
 from hearthlight import labels as L
 from hearthlight.functions import scores as S
 from hearthlight.functions import text as T
@@ -196,12 +197,24 @@ def routed(v):
     return fraud.cascade(v.interactions, v.verdicts, v.accounts, staff=STAFF)
 
 
-@check("d8_routing", """SELECT interaction_id, severity_level, status AS llm_status, CASE WHEN
+_ROUTED = """SELECT interaction_id, severity_level, status AS llm_status, CASE WHEN
   status = 'OK' THEN gate END AS tier3_verdict,
-  action AS recommended_action, disposition, audit_reason FROM routed""", ("routed",))
+  action AS recommended_action, disposition, audit_reason FROM routed"""
+
+
+def _routes(rows):
+    return rows.select("interaction_id", "severity_level", "llm_status", "tier3_verdict",
+                       "recommended_action", "disposition", "audit_reason")
+
+
+@check("d8_routing", _ROUTED, ("routed",))
+def _(v):
+    return _routes(routed(v))
+
+
+@check("e4_bucketed_cascade", _ROUTED, ("routed",))
 def _(v):
-    return routed(v).select("interaction_id", "severity_level", "llm_status", "tier3_verdict",
-                            "recommended_action", "disposition", "audit_reason")
+    return _routes(routed(BucketedViews(v, ("interactions", "verdicts", "accounts"))))
 
 
 @check("d9_review_severity", """SELECT interaction_id, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'][priority] AS severity,

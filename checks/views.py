@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthlight.labels import LABELS, NEGATIVE
+from hearthlight.session import new_folder
+from hearthlight.sources import buckets
 
 STAFF_DOMAIN = "staff.example.org"
 
@@ -201,6 +203,23 @@ class Views:
             *[f"{expr} AS {n}" for n, expr in FORUM_COLUMNS.items()])
 
 
+class BucketedViews(Views):
+    """The views that a cascade joins, stored in buckets by their key first."""
+
+    def __init__(self, views: Views, names: tuple[str, ...], buckets: int = 16):
+        super().__init__(views.spark, views.folder)
+        self._stored = {n: buckets_of(views, n, buckets) for n in names}
+
+    def __getattribute__(self, name: str):
+        stored = object.__getattribute__(self, "__dict__").get("_stored", {})
+        return stored[name] if name in stored else super().__getattribute__(name)
+
+
+def buckets_of(views: Views, name: str, n: int) -> DataFrame:
+    path = new_folder(views.spark, f"bucketed_{name}")
+    return buckets.store(getattr(views, name), path.rsplit("/", 1)[-1].replace("-", "_"), path, n)
+
+
 def oracle_views() -> dict[str, tuple[tuple[str, ...], str]]:
     """Name to (views it reads, SQL)."""
     out = {

@@ -8,13 +8,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# hugeMethodLimit: the rule expressions are wide; methods over 8000 bytes are never compiled by
+# State of streams lies in RocksDB, on disk, not in the executors' heap. hugeMethodLimit: the rule expressions are wide; methods over 8000 bytes are never compiled by
 # the JVM, so Spark should fall back to split methods instead.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

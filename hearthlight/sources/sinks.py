@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from hearthlight import schema
 from hearthlight.functions.text import escape_html
+from hearthlight.operators.trends import latest_snapshots
+from hearthlight.sources.commits import FolderTable
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -35,6 +37,23 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.SNAPSHOT).parquet(path)
 
 
+class Snapshots:
+    """Weekly snapshots in commits: a batch counts once, however often it is sent, and compaction keeps
+    the newest row per week while readers go on."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.table = FolderTable(spark, path)
+
+    def append(self, snapshot: DataFrame, name: str) -> bool:
+        return self.table.add(snapshot.select(*schema.SNAPSHOT.fieldNames()), name)
+
+    def read(self) -> DataFrame:
+        return latest_snapshots(self.table.rows(schema.SNAPSHOT))
+
+    def compact(self) -> bool:
+        return self.table.compact(schema.SNAPSHOT, latest_snapshots)
+
+
 def critical_alert(rows: DataFrame, keys: list[str], top: int = 5, shown: int = 4) -> DataFrame:
     """Per key, the number of critical flags, the first ``top`` as lines, and the overflow.
 
