@@ -18,6 +18,7 @@ from hearthlight.operators import distress, fraud, training, trends
 from hearthlight.session import new_folder
 from hearthlight.sources import interactions as ingest
 from hearthlight.sources import prompts, sinks, tables
+from hearthlight.sources.weekstore import WeekStore
 
 STAFF = fraud.StaffPolicy(domains=(STAFF_DOMAIN,))
 
@@ -91,6 +92,20 @@ def _(v):
         F.sum(F.length("content")).alias("chars"))
 
 
+@check("a3_stored_history", "WITH " + _WINDOW.format(a="2023-11-13", b="2024-02-05") + f"""
+SELECT interaction_id, {O.week_label('activity_date')} AS scam_scan_week, sha256({O.clean('content')}) AS content_sha,
+  CAST(date_diff('day', date_trunc('week', activity_date), DATE '2024-01-29') / 7 AS BIGINT) AS scam_scan_offset
+FROM both_kinds""", ("forum",))
+def _(v):
+    store, forum = WeekStore(v.spark, new_folder(v.spark, "weeks")), v.forum
+    store.refresh(forum.filter("interaction_id % 3 = 0"), 2024, 4, 6)  # rows that came early
+    store.refresh(forum, 2024, 4, 6)
+    store.catch_up(forum, 2024, 5, 12)
+    return store.history(2024, 5, 12).select(
+        "interaction_id", "scam_scan_week", F.sha2("content", 256).alias("content_sha"),
+        F.col("scam_scan_offset").cast("bigint").alias("scam_scan_offset"))
+
+
 def corpus_frame(v: Views) -> DataFrame:
     return v.interactions.select("interaction_id", "content").join(v.truth, "interaction_id").select(
         F.concat(F.lit("item_"), F.col("interaction_id").cast("string")).alias("id"),
@@ -111,6 +126,15 @@ def _(v):
                         F.sha2("text", 256).alias("text_sha"), "source_name")
 
 
+@check("a4_numbered_lines", """SELECT concat('item_', interaction_id) AS id, row_number() OVER (ORDER BY interaction_id) - 1
+  AS row_index FROM interactions JOIN truth USING (interaction_id) WHERE interaction_id % 10 <> 3""", ("interactions", "truth"))
+def _(v):
+    path = new_folder(v.spark, "corpus")
+    rows = corpus_frame(v).withColumn("n", F.regexp_extract("id", r"(\d+)$", 1).cast("bigint")).filter("n % 10 <> 3")
+    rows.orderBy("n").drop("n").write.json(path)
+    return tables.read_corpus(v.spark, path, json_lines=True).select("id", "row_index")
+
+
 _THRESHOLDS = (
     "concat('{\"sadness\": 0.', lpad(CAST(event_id % 100 AS VARCHAR(20)), 2, '0'), "
     "', \"anger\": \"bad\", \"bogus\": 0.5, \"fear\": 1.5, \"joy\": -', "

@@ -13,6 +13,8 @@ from hearthlight.functions import scores as S
 from hearthlight.functions import text as T
 from hearthlight.functions import verdicts as V
 from hearthlight.operators import distress, evaluation, fraud, metrics, sampling, scoring, training
+from hearthlight.session import new_folder
+from hearthlight.sources.ledger import Ledger
 
 
 def _scores(name: str, sql: str, columns):
@@ -78,29 +80,44 @@ def length_scorer(texts: list[str]) -> list[dict[str, float]]:
     return [{"joy": (len(t) % 100) / 100, "fear": (len(t) % 7) / 10} for t in texts]
 
 
-@check("c10_pluggable_scorer", r"""WITH w AS (SELECT interaction_id, content, string_split(trim(regexp_replace(content,
+_SCORED = r"""WITH w AS (SELECT interaction_id, content, string_split(trim(regexp_replace(content,
   '\s+', ' ', 'g')), ' ') AS ws FROM interactions), starts AS (SELECT *, unnest(CASE WHEN len(ws) <= 300 THEN [0] ELSE
   generate_series(0, len(ws) - 1, 250) END) AS s FROM w), chunks AS (SELECT interaction_id, length(CASE WHEN len(ws) <= 300
   THEN content ELSE array_to_string(ws[s + 1:s + 300], ' ') END) AS n FROM starts)
 SELECT interaction_id, max((n % 100) / 100::DOUBLE) AS joy, max((n % 7) / 10::DOUBLE) AS fear, 0::DOUBLE AS neutral
-  FROM chunks GROUP BY 1""", ("interactions",))
+  FROM chunks GROUP BY 1"""
+
+
+@check("c10_pluggable_scorer", _SCORED, ("interactions",))
 def _(v):
     scored = scoring.score_texts(v.interactions, length_scorer)
     return scored.select("interaction_id", "joy", "fear", "neutral")
 
 
+@check("c10_scored_once", _SCORED, ("interactions",))
+def _(v):
+    ledger = Ledger(v.spark, new_folder(v.spark, "scores"), scoring.SCORES)
+    half = v.interactions.filter("interaction_id % 2 = 0")
+    scoring.score_with_memo(half, length_scorer, ledger, slices=2)
+    return scoring.score_with_memo(v.interactions, length_scorer, ledger, slices=2).select(
+        "interaction_id", "joy", "fear", "neutral")
+
+
 @check("c11_external_vector", "WITH n AS (SELECT row_no, " + "CASE emotion_no " + " ".join(
     f"WHEN {i} THEN {O.q(name)}" for i, name in enumerate(O.R.DIALOGUE_LABEL_MAP)) + """ END AS lab FROM external)
 SELECT row_no, lab, concat_ws(', ', """ + ", ".join(
     f"CASE WHEN lab IN ({', '.join(O.q(k) for k, w in O.R.DIALOGUE_LABEL_MAP.items() if x in w) or 'NULL'}) THEN {O.q(x)} END"
-    for x in L.LABELS) + ") AS labels FROM n", ("external",))
+    for x in L.LABELS) + ") AS labels, " + ", ".join(
+    "CAST(CASE lab " + " ".join(f"WHEN {O.q(k)} THEN {w[x]}" for k, w in O.R.DIALOGUE_LABEL_MAP.items() if x in w)
+    + f" ELSE 0 END AS DOUBLE) AS {x}" if any(x in w for w in O.R.DIALOGUE_LABEL_MAP.values()) else f"0::DOUBLE AS {x}"
+    for x in L.LABELS) + " FROM n", ("external",))
 def _(v):
     names = list(O.R.DIALOGUE_LABEL_MAP)
     rows = v.external.select("row_no", F.try_element_at(
         F.array(*map(F.lit, names)), F.col("emotion_no") + 1).alias("lab"))
     wide = rows.withColumns(training.labels_from_map(F.col("lab"), O.R.DIALOGUE_LABEL_MAP))
     return wide.select("row_no", "lab", F.concat_ws(", ", *[
-        F.when(F.col(x) > 0, F.lit(x)) for x in L.LABELS]).alias("labels"))
+        F.when(F.col(x) > 0, F.lit(x)) for x in L.LABELS]).alias("labels"), *L.LABELS)
 
 
 def taught(v):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hearthlight.functions import scores as S
 from hearthlight.functions.text import explode_chunks
 from hearthlight.labels import LABELS
+from hearthlight.sources.ledger import Ledger
 
 Scorer = Callable[[list[str]], list[dict[str, float]]]
 
@@ -47,3 +48,24 @@ def score_texts(df: DataFrame, scorer: Scorer, content: str = "content",
     shape = f"{key} {kind}, " + ", ".join(f"{label} double" for label in labels) + ", failed int"
     pieces = explode_chunks(df.select(key, content), content).select(key, "chunk")
     return S.max_pool(pieces.mapInPandas(run, shape), key, failed_chunks=F.sum("failed"))
+
+
+def score_with_memo(df: DataFrame, scorer: Scorer, ledger: Ledger, content: str = "content",
+                    key: str = "interaction_id", batch: int = 32, slices: int = 16) -> DataFrame:
+    """As ``score_texts``, but equal texts reach the scorer once, and texts of earlier runs not at
+    all. The ledger holds ``SCORES``; texts with failed chunks are sent again next time."""
+    asked = df.select(key, F.coalesce(content, F.lit("")).alias("prompt"))
+
+    def answer(requests: DataFrame) -> DataFrame:
+        scored = score_texts(requests, scorer, "prompt", "request", batch)
+        whole = F.struct(*LABELS, "failed_chunks")
+        return scored.select("request", F.when(F.col("failed_chunks") == 0, whole).alias("answer"))
+
+    ledger.ask(asked, answer, slices)
+    rows = ledger.answers(asked)
+    return rows.select(
+        key, *[F.coalesce(F.col("answer")[label], F.lit(0.0)).alias(label) for label in LABELS],
+        F.col("answer").isNull().alias("failed"))
+
+
+SCORES = "struct<" + ", ".join(f"{label}: double" for label in LABELS) + ", failed_chunks: bigint>"

@@ -14,6 +14,7 @@ from hearthlight.functions import text, verdicts
 from hearthlight.operators.barrier import evaluate_once
 from hearthlight.operators.dedup import keep_first, keep_first_hash, top_per_group
 from hearthlight.operators.sampling import SEED, uniform_sample
+from hearthlight.session import cut_lineage
 
 
 # --- teacher answers ---------------------------------------------------------------------
@@ -219,9 +220,13 @@ def cap_per_label(rows: DataFrame, cap: int, labels: Sequence[str] = L.LABELS,
 def capped_sample(rows: DataFrame, max_rows: int, share: int, key: str = "text_hash",
                   seed: int = SEED) -> DataFrame:
     """All rows if they fit; else cap per label, then sample down to ``max_rows``."""
-    if not max_rows or rows.count() <= max_rows:
+    if not max_rows:
         return rows
-    return uniform_sample(cap_per_label(rows, max(40, max_rows // share)), max_rows, key, seed)
+    rows = cut_lineage(rows)  # read to count, to draw, and for what stays
+    drawn = uniform_sample(cap_per_label(rows, max(40, max_rows // share)), max_rows, key, seed)
+    fits = rows.agg(F.count(F.lit(1)) <= max_rows).scalar()
+    marked = rows.join(drawn.select(key, F.lit(True).alias("_drawn")), key, "left")
+    return marked.filter(fits | F.col("_drawn")).select(*rows.columns)
 
 
 def rare_supplement(rows: DataFrame, cap: int = 60) -> DataFrame:
