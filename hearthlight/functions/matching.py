@@ -3,7 +3,8 @@
 Testing 200 terms one by one reads every text 200 times. Here one look-ahead expression, built as
 a prefix tree of all terms, reads the text once and collects the longest term at each position.
 The collected terms form a short "hit list" string on which the individual tests run: a term
-occurs in the text exactly when some collected term starts with it.
+occurs in the text exactly when some collected term starts with it. Where a whole frame is at hand,
+an automaton makes the same list at a fraction of the time (``with_hit_list``).
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import re
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEP = "\n"
@@ -69,6 +72,40 @@ def hit_list(text: Column, terms: Iterable[str], anchor: str = "") -> Column:
     return F.concat(F.lit(SEP), F.array_join(F.array_distinct(found), SEP))
 
 
+def with_hit_list(df: DataFrame, text: str, terms: Iterable[str], name: str, at_edge: bool = False
+                  ) -> DataFrame:
+    """Adds what ``hit_list`` finds in a text column that is never null.
+
+    One automaton for all terms runs over Arrow batches of texts: a step a character, however many
+    terms there are, where the look-ahead tree tries several classes of letters at each one. With
+    ``at_edge``, terms right behind an ASCII letter, digit or underscore are left out; others may
+    not be at a word's edge either, so a pattern has to follow, as for ``start_hits``.
+    """
+    words = sorted(set(terms))
+
+    # Refers to nothing of this module but values, so workers need not be able to import it.
+    @F.pandas_udf("string")
+    def find(texts: pd.Series) -> pd.Series:
+        machine, out = ahocorasick.Automaton(), []
+        for word in words:
+            machine.add_word(word, word)
+        machine.make_automaton()
+        for body in texts:
+            if at_edge:
+                found = set()
+                for end, term in machine.iter(body):
+                    before = end - len(term)
+                    if term not in found and (before < 0 or not (
+                            body[before] == "_" or body[before].isascii() and body[before].isalnum())):
+                        found.add(term)
+            else:
+                found = {term for _, term in machine.iter(body)}
+            out.append(SEP + SEP.join(found))
+        return pd.Series(out, dtype=object)
+
+    return df.withColumn(name, find(F.col(text)))
+
+
 def in_hits(hits: Column, term: str) -> Column:
     return F.contains(hits, F.lit(SEP + term))
 

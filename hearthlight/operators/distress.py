@@ -53,10 +53,9 @@ def conflict_signal(cleaned) -> Column:
 def with_text_signals(df: DataFrame, content: str = "content") -> DataFrame:
     """Text side of the rules: hints, support hits and hardship phrases, one scan per text."""
     low = F.lower(F.coalesce(F.col(content), F.lit("")))
-    staged = df.withColumns({"_norm": text.normalize_training_text(content), "_low": low})
-    staged = staged.withColumn("_hits", M.start_hits(
-        F.col("_norm"), (*R.SUPPORT_NEED, *_ALL_HINTS)
-    ))
+    staged = evaluate_once(df, {"_norm": text.normalize_training_text(content), "_low": low})
+    starts = [M.literal_start(p) for p in (*R.SUPPORT_NEED, *_ALL_HINTS)]
+    staged = M.with_hit_list(staged, "_norm", starts, "_hits", at_edge=True)
     norm, hits = F.col("_norm"), F.col("_hits")
     low = F.col("_low")
     phrases = [M.longest_literal(p) for p in R.HARDSHIP_PHRASES]

@@ -116,11 +116,9 @@ def scan(df: DataFrame, content: str = "content") -> DataFrame:
     if {"heuristic_score", "matched_terms"} <= set(df.columns):
         return df
     raw = F.coalesce(F.col(content), F.lit(""))
-    staged = df.withColumn("_low", F.lower(raw))
-    staged = evaluate_once(staged, {
-        "_hits": M.hit_list(F.col("_low"), SCAN_TERMS),
-        "_digits": F.col("_low").rlike(M.pattern(r"\d{3}")),
-    })
+    staged = evaluate_once(df, {"_low": F.lower(raw)})
+    staged = M.with_hit_list(staged, "_low", SCAN_TERMS, "_hits")
+    staged = evaluate_once(staged, {"_digits": F.col("_low").rlike(M.pattern(r"\d{3}"))})
     signals = _signals(raw, F.col("_low"), F.col("_hits"), F.col("_digits"))
     staged = evaluate_once(staged, {"_s": F.struct(*[v.alias(k) for k, v in signals.items()])})
 

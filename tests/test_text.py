@@ -135,3 +135,20 @@ def test_identity_and_staff(spark):
         T.is_staff("n", "e", ("staff.example.org",)).alias("s")).collect()
     assert [(r.n, r.s) for r in got] == [
         ("Ana", True), ("N/A", False), ("Site Moderator", True), ("N/A", False)]
+
+
+def test_the_automaton_finds_what_the_expression_finds(spark):
+    from hearthlight.operators import fraud
+
+    texts = ["", "now", "no", "snow and ethical won't", "gift cardgift card", "İ ß 😀 cash flip", "pin, ssn\nloan", "éstruggling", "a_struggling",
+             "struggling with rent; i struggle", "x" * 50_000 + " whatsapp", " ".join(fraud.SCAN_TERMS)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = M.with_hit_list(rows, "t", fraud.SCAN_TERMS, "new").withColumn("old", M.hit_list(F.col("t"), fraud.SCAN_TERMS)).collect()
+    for r in found:
+        for term in fraud.SCAN_TERMS:
+            assert (f"\n{term}" in r.new) == (f"\n{term}" in r.old) == (term in r.t)
+    starts = [M.literal_start(p) for p in R.SUPPORT_NEED]
+    edged = M.with_hit_list(rows, "t", starts, "new", at_edge=True).withColumn("old", M.start_hits(F.col("t"), R.SUPPORT_NEED)).collect()
+    for r in edged:  # never less than the expression finds; patterns follow
+        assert all(f"\n{s}" in r.new for s in starts if f"\n{s}" in r.old)
+        assert not any(f"\n{s}" in r.new for s in starts if s not in r.t)
