@@ -35,6 +35,8 @@ from hearthlight.llm.tokens import default_tokenizer, encoded
 
 #: Documents that train the dictionary, bytes of each that count, and the dictionary's size.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 1 << 15, 112_640
+#: Compression level of frames.
+LEVEL = 3
 #: A segment is closed at so many bytes or documents.
 SEGMENT_BYTES, SEGMENT_DOCS = 4 << 20, 4096
 _SEGMENTS = (
@@ -67,7 +69,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, sam
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = zstandard.ZstdCompressionDict(trained) if trained else None
-        packer = zstandard.ZstdCompressor(level=1, dict_data=shared)
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         shard, segment = TaskContext.get().partitionId(), 0
         ids: list[int] = []
         counts: list[int] = []
