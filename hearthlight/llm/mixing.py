@@ -12,7 +12,7 @@ All of it is DataFrame functions on short rows; texts are read once, to count wo
 go over three levels of hash buckets, so that a source with a third of all rows is never in one task.
 
 Defined results: null text and text without words have size 0 and take nothing; a null source is
-the last source; rows that repeat a document id are documents of their own; draws depend on ids,
+the last source; rows that repeat a document id, or have none, are documents of their own; draws depend on ids,
 texts and seed only, so reruns agree. Equal rows are interchangeable. An empty table, or one
 without words, gives targets of 0. Extra columns are ignored.
 """
@@ -34,8 +34,9 @@ _SLOTS = 1 << 31
 
 @dataclass(frozen=True)
 class Mix:
-    """``documents``: doc_id, copy, size, source_size, target, taken. ``pieces``: shard, position,
-    doc_id, copy, epoch, start, length (words of a document, in the shard's order)."""
+    """``documents``: doc_id, copy, size, source_size, target, taken, and shard and position of the
+    first piece (null if nothing is taken). ``pieces``: shard, position, doc_id, copy, epoch, start,
+    length (words of a document, in the shard's order)."""
 
     documents: DataFrame
     pieces: DataFrame
@@ -51,10 +52,16 @@ class Settings:
 
 
 def copy_number() -> Column:
-    """Tells rows with one document id apart, the same way whenever they are read."""
-    return F.row_number().over(
-        Window.partitionBy("doc_id").orderBy("text_hash", "size", F.col("source").asc_nulls_last())
+    """Tells rows with one document id, or none, apart, the same way whenever they are read: by the
+    hash of the text, and a number among rows that share it too."""
+    number = F.row_number().over(
+        Window.partitionBy("doc_id", "text_hash").orderBy("size", F.col("source").asc_nulls_last())
     )
+    return F.struct(F.col("text_hash").alias("hash"), number.alias("number"))
+
+
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a.doc_id.eqNullSafe(b.doc_id) & (a.copy == b.copy)
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -292,15 +299,18 @@ def mix(docs: DataFrame, settings: Settings = Settings()) -> Mix:
     )
     pieces = cut_lineage(pieces)
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "shard", "sid", "draw"), "sid", "draw", "from")
-    by_document = pieces.groupBy("doc_id", "copy").agg(F.sum("length").alias("taken"))
-    documents = named.join(by_document, ["doc_id", "copy"], "left").select(
-        "doc_id", "copy", "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
-    )
-    return Mix(documents, pieces.select(
+    pieces = pieces.select(
         "shard", (F.row_number().over(shuffled) - 1).alias("position"), "doc_id", "copy", "epoch",
         "start", "length",
-    ))
+    )
+    by_document = pieces.groupBy("doc_id", "copy").agg(
+        F.sum("length").alias("taken"), F.min(F.struct("shard", "position")).alias("first")
+    )
+    documents = named.join(by_document, _same_row(named, by_document), "left").select(
+        named.doc_id, named.copy, "size", "source_size", "target",
+        F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first.shard", "first.position",
+    )
+    return Mix(documents, pieces)
 
 
 def mixed_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -320,7 +330,7 @@ def mixed_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     cut = let(words, lambda w: F.array_join(F.flatten(F.transform(
         "ranges", lambda r: F.slice(w, (r["start"] + 1).cast("int"), r["length"].cast("int"))
     )), " "))
-    out = key.join(parts, ["doc_id", "copy"]).withColumn(
+    out = key.join(parts, _same_row(key, parts)).withColumn(
         "text", F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(cut)
     )
     new = {"text": F.col("text")}

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import defaultdict
 from itertools import product
@@ -262,3 +263,35 @@ def test_pipeline_on_an_empty_table(spark, nothing, tmp_path):
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixed_rows_without_an_id_count_and_shards_are_the_trees(spark):
+    rng = random.Random(8)
+    rows = [(None if k % 3 else k, " ".join(["w"] * rng.randrange(0, 90)) + (f" {k}" if k % 2 else ""), "s" + str(k % 4)) for k in range(600)]
+    rows += [(None, "the same words", "s1")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    settings = mixing.Settings(block_words=16, shard_blocks=64)
+    made = mixing.mix(docs, settings)
+    by_row = made.documents.collect()
+    assert len(by_row) == 650 and sum(r.doc_id is None for r in by_row) == 450
+    for target in {(r.source_size, r.target) for r in by_row}:
+        assert sum(r.taken for r in by_row if (r.source_size, r.target) == target) == round(target[1])
+    pieces = made.pieces.collect()
+    assert len({p.shard for p in pieces}) > 4
+    first, words = {}, {}
+    for p in pieces:
+        key = (p.doc_id, p.copy)
+        first[key] = min(first.get(key, (1 << 40, 0)), (p.shard, p.position))
+        words[key] = words.get(key, 0) + p.length
+    for r in by_row:
+        key = (r.doc_id, r.copy)
+        assert (r.shard, r.position) == first.get(key, (None, None)) and r.taken == words.get(key, 0)
+    for shard in {p.shard for p in pieces}:  # positions are a permutation
+        places = sorted(p.position for p in pieces if p.shard == shard)
+        assert places == list(range(len(places)))
+    again = mixing.mix(docs.repartition(7), settings).documents.collect()
+    assert sorted(map(str, again)) == sorted(map(str, by_row))
+    text = mixing.mixed_documents(docs, settings)
+    assert text.columns == docs.columns
+    got = sum(len(r.text.split()) for r in text.collect())
+    assert got == sum(r.taken for r in by_row)
