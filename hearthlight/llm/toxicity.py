@@ -4,17 +4,24 @@ The kernel compares two words by their common subsequences of three letters, eac
 weighted down for every character it skips, and divides by the words' own weights. An insult with
 an inserted, doubled or starred-out letter therefore keeps most of its likeness. Letters are folded
 to lower case, digits that stand for letters are read as those letters, other signs within a word
-are skipped, and letters spelled one by one are joined. A sentence is as toxic as its most toxic
-word, a document as its most toxic sentence.
+are skipped, and letters spelled one by one are joined. The kernel runs over words and over windows
+across spaces: the end of each word joined with the start of the next, so that an insult split by a
+space is read as one word, and a phrase by the places where its words meet. A sentence is as toxic
+as its most toxic window, a document as its most toxic sentence.
 
 Training. A bounded sample of labelled documents, near copies counted once, gives the fragments
-that stand in toxic sentences and not in clean ones; a greedy cover of the toxic documents chooses
-the landmarks among them, beside common clean words. The machine is fitted in the landmarks' Nyström
-features, with the hardest clean words added in each round, and its output is turned into a
-probability on the sample's documents. Since the kernel is a sum over subsequences, the sum over
+that stand in toxic sentences and hardly in clean ones (three letters if they are a whole word, four
+or more of any word); a greedy cover of the toxic documents chooses the landmarks among them, and
+another one, of the toxic documents without such a word, chooses fragments across a space; common
+clean words are landmarks as well. Two machines, one for words and one for windows across spaces,
+are fitted in the landmarks' Nyström features, with the hardest clean words or windows added in each
+round. The first one's output is turned into a probability on the sample's documents; a window
+counts as toxic if it scores above the middle between the clean documents' highest window and the
+median insult. Since the kernel is a sum over subsequences, the sum over
 landmarks is one table of weights, by which whole texts are scored in numpy batches.
 
-Defined results: a null text is empty; texts without words of three letters have the lowest score;
+Defined results: a null text is empty; texts without three letters in a window have the lowest score;
+very long texts and words are cut into windows, none is left out; an empty table gives an empty one;
 equal texts have equal scores; repeated labels of a document count once, as toxic if one is; null
 labels and labels without a document are ignored; without labels of both kinds, or without a
 fragment that tells them apart, every score is the share of toxic documents. Extra columns are
@@ -23,7 +30,8 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlight.llm.common import hash_sample
-from hearthlight.llm.shingles import distinct, runs, shingle_hashes, words_of
+from hearthlight.llm.shingles import distinct, joined, runs, shingle_hashes, words_of
 from hearthlight.session import cut_lineage
 
 #: About so many labelled documents train the model, of at most so many characters each.
@@ -42,6 +50,12 @@ THRESHOLD = 0.3
 DECAY, GAPS = 0.5, 3
 _OFFSETS = [(a, s - a) for s in range(2, 3 + GAPS) for a in range(1, s)]
 _WINDOW, _STEP = 24, 12
+#: Bytes of each word in a window across a space.
+_HALF = 12
+#: Words and windows with an insult's fragment that are fitted at most: a random draw of this many.
+POSITIVES = 10_000
+#: Words whose kernel with all landmarks is worked out at a time.
+_ROWS = 4000
 #: Landmarks at most: fragments of insults, and clean words.
 _TOXIC_MARKS, _CLEAN_MARKS = 64, 48
 #: How often the toxic documents are covered by fragments.
@@ -143,6 +157,15 @@ def feature_rows(tokens: Tokens) -> np.ndarray:
 
 def kernel(tokens: Tokens, marks: np.ndarray) -> np.ndarray:
     """Kernel of each word with each landmark."""
+    first = tokens.first
+    parts = [
+        _kernel(Tokens(tokens.symbols[first[a]:first[min(a + _ROWS, tokens.n)]], first[a:a + _ROWS + 1] - first[a]), marks)
+        for a in range(0, tokens.n, _ROWS)
+    ]
+    return np.concatenate(parts) if parts else np.zeros((0, len(marks)))
+
+
+def _kernel(tokens: Tokens, marks: np.ndarray) -> np.ndarray:
     out, own, by_code = np.zeros((tokens.n, len(marks))), np.zeros(tokens.n), marks.T.copy()
     for owner, code, weight in subsequences(tokens):
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else []
@@ -158,6 +181,8 @@ class Model:
     bias: float
     slope: float  # probability = 1 / (1 + exp(-(slope * margin + offset)))
     offset: float
+    across: np.ndarray | None = None  # the same of windows across spaces
+    level: float = 0.0  # score of a window that stands for a margin of 0
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40)))
@@ -181,12 +206,35 @@ class Model:
             score = self.word_margins(fold(words.data, words.starts[pick], words.ends[pick]))[inverse]
             some = np.flatnonzero(words.counts)
             out[some] = np.maximum.reduceat(score, words.first[:-1][some])
+        if self.across is not None:
+            np.maximum(out, window_scores(words, self.across) - self.level, out=out)
         spelled, owner = spelled_out(words)
         if spelled.n:
             np.maximum.at(out, owner, self.word_margins(spelled))
         return out
 
 
+def joints(words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows across spaces: where each different one starts and ends, and of every two neighbouring
+    words the text and the window."""
+    owner = words.owner
+    left = np.flatnonzero(owner[:-1] == owner[1:])
+    _, pick, inverse = np.unique(joined(words.hashes[left], words.hashes[left + 1]), return_index=True, return_inverse=True)
+    some = left[pick]
+    starts = np.maximum(words.starts[some], words.ends[some] - _HALF)
+    ends = np.minimum(words.ends[some + 1], words.starts[some + 1] + _HALF)
+    return starts, ends, owner[left], inverse
+
+
+def window_scores(words, table: np.ndarray) -> np.ndarray:
+    """Each text's greatest score of a window across spaces."""
+    starts, ends, owner, pick = joints(words)
+    out = np.full(len(words.first) - 1, -np.inf)
+    if len(starts):
+        np.maximum.at(out, owner, table_scores(fold(words.data, starts, ends), table)[pick])
+    return out
+
+
 def spelled_out(words) -> tuple[Tokens, np.ndarray]:
     """Words spelled with a space after each letter (three letters at least), and their texts."""
     letters = fold(words.data, words.starts, words.ends)
@@ -259,7 +307,21 @@ def _without_near_copies(column: pa.Array) -> np.ndarray:
 
 
 def _fragments(words: list[bytes]) -> set[bytes]:
-    return {w[i:i + n] for w in words for n in (4, 5, 6, 8) for i in range(len(w) - n + 1)}
+    """Runs of letters in the words, of three letters only whole words."""
+    found = {w[i:i + n] for w in words for n in (4, 5, 6, 8) for i in range(len(w) - n + 1)}
+    return found | {w for w in words if len(w) == 3}
+
+
+def _crossing(windows: list[tuple[bytes, int]]) -> set[bytes]:
+    """Runs of letters that begin before a space and end behind it."""
+    return {
+        w[i:i + n] for w, cut in windows for n in (5, 6, 8, 10)
+        for i in range(max(0, cut - n + 1), min(cut, len(w) - n + 1))
+    }
+
+
+def _holds(word: bytes, fragments: list[bytes]) -> bool:
+    return any(f in word if len(f) > 3 else f == word for f in fragments)
 
 
 def _folded(text: str, known: dict[bytes, bytes]) -> list[bytes]:
@@ -270,6 +332,16 @@ def _folded(text: str, known: dict[bytes, bytes]) -> list[bytes]:
     return [known.setdefault(w, w) for w in {raw[a:b] for a, b in zip(first, first[1:]) if b - a >= 3}]  # noqa: B905
 
 
+def _windows_across(text: str) -> list[tuple[bytes, int]]:
+    """The different windows across spaces of a text, and where in each the space stood."""
+    words = words_of(pa.array([text]))
+    starts, ends, _, _ = joints(words)
+    after = words.starts[np.searchsorted(words.starts, starts, "right")]  # where the second word begins
+    a, b = fold(words.data, starts, after), fold(words.data, after, ends)
+    one, two, p, q = a.symbols.tobytes(), b.symbols.tobytes(), a.first.tolist(), b.first.tolist()
+    return list({(one[p[i]:p[i + 1]] + two[q[i]:q[i + 1]], p[i + 1] - p[i]) for i in range(len(starts))})
+
+
 def _cover(sets: dict[bytes, set[int]], clean: dict[bytes, int], least: int, most: int) -> list[bytes]:
     """Fragments that cover the toxic texts, best first; fragments also in clean texts count less."""
     left = {f: s for f, s in sets.items() if clean.get(f, 0) * 9 <= len(s)}
@@ -285,32 +357,35 @@ def _cover(sets: dict[bytes, set[int]], clean: dict[bytes, int], least: int, mos
     return chosen
 
 
-def _chosen_fragments(toxic: dict[int, list[bytes]], clean: list[list[bytes]], share: float) -> list[bytes]:
+def _chosen_fragments(
+    toxic: dict[int, list], clean: Callable[[], Iterable[list]], share: float, fragments: Callable[[list], set[bytes]],
+    holds: Callable[[object, list[bytes]], bool], covers: int = _COVERS,
+) -> list[bytes]:
     """Covers of the toxic texts, one after another, each by words that the earlier ones leave."""
     left, chosen, counted = toxic, [], {}
-    for _ in range(_COVERS):
+    for _ in range(covers):
         # Counted by hash first: most fragments stand in one text and need not be kept.
-        hashes = [np.fromiter(map(hash, _fragments(words)), np.int64) for words in left.values()]
+        hashes = [np.fromiter(map(hash, fragments(words)), np.int64) for words in left.values()]
         values, counts = np.unique(np.concatenate(hashes), return_counts=True)
         # So many texts that no fragment is expected to stand in that many toxic ones by chance.
         least = max(3, int(np.ceil(np.log(len(values) + 1) / -np.log(max(share, 0.02)))))
         often = set(values[counts >= least].tolist())
         where: dict[bytes, set[int]] = {}
         for i, words in left.items():
-            for f in _fragments(words):
+            for f in fragments(words):
                 if hash(f) in often:
                     where.setdefault(f, set()).add(i)
         where = {f: s for f, s in where.items() if len(s) >= least}
         unseen = where.keys() - counted.keys()
         counted.update(dict.fromkeys(unseen, 0))
-        for words in clean if unseen else ():
-            for f in _fragments(words) & unseen:
+        for words in clean() if unseen else ():
+            for f in fragments(words) & unseen:
                 counted[f] += 1
         found = _cover(where, counted, least, _TOXIC_MARKS - len(chosen))
         if not found:
             break
         chosen += found
-        left = {i: [w for w in words if not any(f in w for f in found)] for i, words in left.items()}
+        left = {i: [w for w in words if not holds(w, found)] for i, words in left.items()}
     return chosen
 
 
@@ -329,6 +404,39 @@ def _tokens(words: list[bytes]) -> Tokens:
     return Tokens(np.frombuffer(b"".join(words), np.uint8), np.append(0, sizes.cumsum()))
 
 
+def _hard_windows(clean: pa.Array, table: np.ndarray, insults: set[bytes], most: int = 1500) -> list[bytes]:
+    """The windows across spaces of clean texts that score highest."""
+    best: dict[bytes, float] = {}
+    for a, b in runs(clean):
+        words = words_of(clean.slice(a, b - a))
+        starts, ends, _, _ = joints(words)
+        tokens = fold(words.data, starts, ends)
+        score = table_scores(tokens, table)
+        raw, first = tokens.symbols.tobytes(), tokens.first
+        for i in np.argsort(-score, kind="stable")[:most].tolist():
+            best[raw[first[i]:first[i + 1]]] = float(score[i])
+        best = dict(sorted(best.items(), key=lambda e: (-e[1], e[0]))[:most])
+    return [w for w in best if len(w) >= 3 and w not in insults]
+
+
+def _machine(
+    landmarks: list[bytes], positives: list[bytes], negatives: list[bytes], hard: Callable[[np.ndarray], list[bytes]],
+) -> tuple[np.ndarray, float]:
+    """Weights of the subsequences, and the bias, of a machine in the landmarks' Nyström features."""
+    marks = feature_rows(_tokens(list(dict.fromkeys(landmarks))))
+    values, vectors = np.linalg.eigh(marks @ marks.T)
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])  # inverse square root of the landmarks' kernel
+    for _ in range(3):
+        words = positives + negatives
+        sign = np.append(np.ones(len(positives)), -np.ones(len(negatives)))
+        weight = np.append(np.full(len(positives), 20 * len(negatives) / len(positives) / 4), np.full(len(negatives), 20.0))
+        u = support_vectors(kernel(_tokens(words), marks) @ root, sign, weight)
+        table, bias = (root @ u[:-1]) @ marks, float(u[-1])
+        negatives = list(dict.fromkeys(negatives + hard(table)))
+    return table, bias
+
+
 def train(texts: list[str], labels: list[int]) -> Model | float:
     """A model, or the share of toxic texts if nothing tells them apart."""
     column, rng = pa.array(texts, pa.large_string()), np.random.default_rng(13)
@@ -339,42 +447,54 @@ def train(texts: list[str], labels: list[int]) -> Model | float:
         return share
     known: dict[bytes, bytes] = {}
     bags = [_folded(texts[i], known) for i in rows]
+    good_rows = np.flatnonzero(y == 0).tolist()
     toxic = {i: bags[i] for i in np.flatnonzero(y).tolist()}
-    clean_words: dict[bytes, int] = {}
-    for i in np.flatnonzero(y == 0).tolist():
-        for w in bags[i]:
-            clean_words[w] = clean_words.get(w, 0) + 1
-    chosen = _chosen_fragments(toxic, [bags[i] for i in np.flatnonzero(y == 0).tolist()], share)
-    if not chosen:
+    toxic_words = Counter(w for words in toxic.values() for w in words)
+    clean_words = Counter(w for i in good_rows for w in bags[i])
+    chosen = _chosen_fragments(toxic, lambda: (bags[i] for i in good_rows), share, _fragments, _holds)
+    # Toxic texts without such a word: what they share may lie across spaces.
+    rest = {i: _windows_across(texts[rows[i]]) for i, words in toxic.items() if not any(_holds(w, chosen) for w in words)}
+    phrases = _chosen_fragments(
+        rest, lambda: (_windows_across(texts[rows[i]]) for i in good_rows), share, _crossing,
+        lambda window, found: _holds(window[0], found), 1,  # neighbouring windows share a word: one cover
+    ) if rest else []
+    if not chosen + phrases:
         return share
-    every_toxic = set().union(*toxic.values())
-    insults = sorted(w for w in every_toxic if w not in clean_words and any(f in w for f in chosen))[:4000]
-    common = sorted(clean_words, key=lambda w: (-clean_words[w], w))
+    # As with fragments, a word may stand in a few clean texts.
+    insults = {w for w, n in toxic_words.items() if clean_words[w] * 9 <= n and _holds(w, chosen)}
+    insults |= {w for windows_ in rest.values() for w, _ in windows_ if _holds(w, phrases)}
+    drawn = sorted(insults)
+    drawn = [drawn[i] for i in rng.permutation(len(drawn))[:POSITIVES].tolist()]
+    common = sorted(clean_words.keys() - insults, key=lambda w: (-clean_words[w], w))
     negatives = common[:1500] + [common[i] for i in rng.permutation(len(common))[:3000].tolist()]
-    every = _tokens(common)
-    positives = insults + _altered([w for w in insults if len(w) >= 4], rng)
+    every, frequent = _tokens(common), common[:_CLEAN_MARKS]
+    positives = drawn + _altered([w for w in drawn if len(w) >= 4], rng)
 
-    marks = feature_rows(_tokens(list(dict.fromkeys(chosen + common[:_CLEAN_MARKS]))))
-    values, vectors = np.linalg.eigh(marks @ marks.T)
-    good = values > 1e-6 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])  # inverse square root of the landmarks' kernel
-    table, bias = np.zeros(1 << 15), 0.0
-    for _ in range(3):
-        words = positives + negatives
-        sign = np.append(np.ones(len(positives)), -np.ones(len(negatives)))
-        weight = np.append(np.full(len(positives), 20 * len(negatives) / len(positives) / 4), np.full(len(negatives), 20.0))
-        u = support_vectors(kernel(_tokens(words), marks) @ root, sign, weight)
-        table, bias = (root @ u[:-1]) @ marks, float(u[-1])
-        hard = np.argsort(-table_scores(every, table), kind="stable")[:1500]
-        negatives = list(dict.fromkeys(negatives + [common[i] for i in hard.tolist()]))
-    model = Model(table.astype(np.float32), bias, 1.0, 0.0)
+    def hard_words(table: np.ndarray) -> list[bytes]:
+        return [common[i] for i in np.argsort(-table_scores(every, table), kind="stable")[:1500].tolist()]
+
+    model = Model(np.zeros(1 << 15, np.float32), -1.0, 1.0, 0.0)
+    if chosen:
+        table, model.bias = _machine(chosen + frequent, positives, negatives, hard_words)
+        model.table = table.astype(np.float32)
     margin = np.concatenate([model.text_margins(column.slice(a, b - a)) for a, b in runs(column)])
     # Words with inserted letters stand for as many further toxic texts as there are.
-    altered = model.word_margins(_tokens(positives[len(insults):] or positives))
+    altered = model.word_margins(_tokens(positives[len(drawn):] or positives))
     altered = altered[rng.permutation(len(altered))[:int(np.sum(labels))]]
     model.slope, model.offset = sigmoid_fit(
         np.append(margin, altered), np.append(np.array(labels), np.ones(len(altered)))
     )
+    split = [w for w in positives if len(w) >= 5]
+    long = [f for f in chosen + phrases if len(f) >= 5]
+    if split and long:
+        clean = column.take(pa.array(rows[good_rows]))
+        table, _ = _machine(long + frequent, split, negatives, lambda table: _hard_windows(clean, table, insults))
+        model.across = table.astype(np.float32)
+        highest = max(float(window_scores(words_of(clean.slice(a, b - a)), model.across).max()) for a, b in runs(clean))
+        usual = float(np.median(table_scores(_tokens(split), model.across)))
+        # A window at the level has the probability of the threshold.
+        at_threshold = (np.log(THRESHOLD / (1 - THRESHOLD)) - model.offset) / model.slope
+        model.level = max(highest, (max(highest, 0.0) + usual) / 2) + 1e-6 - at_threshold
     return model
 
 

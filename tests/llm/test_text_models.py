@@ -162,6 +162,56 @@ def test_gaps_and_inserted_letters(labelled):
         assert score(f"{clean} {form} {clean}") >= 0.3, form
 
 
+@pytest.mark.parametrize(("insults", "forms"), [
+    (("idiot", "moron", "dunce"), ("id iot", "mo ron", "du\nnce", "idi  ot")),
+    (("git", "fux"), ("git", "FUX!", "f u x")),
+    (("total waste",), ("total waste", "Total, waste")),
+    (("you are waste",), ("you are waste",)),
+])
+def test_windows_across_spaces(insults, forms):
+    """Insults split by a space, of three letters, and phrases whose words clean texts hold too."""
+    rng = random.Random(8)
+    syllables = ["ra", "to", "min", "sel", "vo", "ka", "pre", "lu", "den", "ist", "or", "ba"]
+
+    def text(extra):
+        words = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+        words[rng.randrange(60)] = extra
+        return " ".join(words)
+    usual = ("you", "are", "total", "waste", "")
+    train = [(text(rng.choice(insults) if i % 6 == 0 else rng.choice(usual)), int(i % 6 == 0)) for i in range(900)]
+    model = toxicity.train([t for t, _ in train], [y for _, y in train])
+    flagged = lambda texts: model.probability(model.text_margins(pa.array(texts, pa.large_string()))) >= 0.3
+    assert flagged([text(rng.choice(forms)) for _ in range(100)]).mean() >= 0.97
+    assert flagged([text(rng.choice(usual)) for _ in range(500)]).mean() <= 0.01
+
+
+def test_no_insult_is_lost_by_the_alphabet(labelled):
+    """A word of a few clean texts is an insult still, whatever its first letter."""
+    rows, *_ = labelled
+    texts = [t + (" zounder" if y or i % 90 == 1 else "") for i, (_, t, y) in enumerate(rows)]
+    model = toxicity.train(texts, [y for *_, y in rows])
+    clean = next(t for _, t, y in rows if not y)
+    scored = model.probability(model.text_margins(pa.array([clean, clean + " zounder"], pa.large_string())))
+    assert scored[0] < 0.3 <= scored[1]
+
+
+def test_kernel_in_parts(monkeypatch):
+    tokens = toxicity.fold_words([b"abcde", b"ab", b"hello", b"", b"abxcd", b"long" * 9])
+    marks = toxicity.feature_rows(toxicity.fold_words([b"abcd", b"hallo"]))
+    whole = toxicity.kernel(tokens, marks)
+    monkeypatch.setattr(toxicity, "_ROWS", 2)
+    assert toxicity.kernel(tokens, marks) == pytest.approx(whole)
+
+
+def test_very_long_texts_are_scored_to_the_end(labelled):
+    rows, *_ = labelled
+    model = toxicity.train([t for _, t, _ in rows], [y for *_, y in rows])
+    clean = next(t for _, t, y in rows if not y)
+    many, solid = " ".join([clean] * 400), "ba" * 1_500_000
+    texts = pa.array([many, f"{many} block head", solid, f"{solid} nitwit"], pa.large_string())
+    assert (model.probability(model.text_margins(texts)) >= 0.3).tolist() == [False, True, False, True]
+
+
 def test_table_is_the_kernel_expansion():
     tokens = toxicity.fold_words([b"abcde", b"abxcd", b"hello", b"ab"])
     marks = toxicity.feature_rows(toxicity.fold_words([b"abcd", b"hallo"]))
