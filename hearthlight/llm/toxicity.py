@@ -56,6 +56,8 @@ _HALF = 12
 POSITIVES = 10_000
 #: Words whose kernel with all landmarks is worked out at a time.
 _ROWS = 4000
+#: Letters that are scored at a time.
+_BLOCK = 1 << 14
 #: Landmarks at most: fragments of insults, and clean words.
 _TOXIC_MARKS, _CLEAN_MARKS = 64, 48
 #: How often the toxic documents are covered by fragments.
@@ -139,11 +141,22 @@ def subsequences(tokens: Tokens) -> Iterator[tuple[np.ndarray, np.ndarray, float
 
 def table_scores(tokens: Tokens, table: np.ndarray) -> np.ndarray:
     """Kernel expansion of each word with the weights in ``table``."""
-    total, own = np.zeros(tokens.n), np.zeros(tokens.n)
-    for owner, code, weight in subsequences(tokens):
-        total += np.bincount(owner, table[code], tokens.n) * weight
-        own += np.bincount(owner, minlength=tokens.n) * weight**2
-    return total / np.sqrt(np.maximum(own, 1e-9))
+    size, n, reach = np.diff(tokens.first), len(tokens.symbols), _OFFSETS[-1][0] + _OFFSETS[-1][1]
+    # Letters to the end of the word, where that is less than the longest subsequence.
+    room = np.minimum(np.repeat(tokens.first[1:], size) - np.arange(n), reach + 1).astype(np.int8)
+    padded = np.append(tokens.symbols, np.zeros(reach, np.uint8)).astype(np.int32)
+    weights = {s: table * DECAY ** (s - 2) for s in range(2, reach + 1)}
+    sums = np.zeros(n)  # over the subsequences that begin at each letter
+    for at in range(0, n, _BLOCK):  # a block stays in the processor's cache
+        m = min(_BLOCK, n - at)
+        c, left, block = padded[at:at + m + reach], room[at:at + m], sums[at:at + m]
+        one, two = c[:m] << 10, c << 5
+        inside = {s: left > s for s in weights}
+        for a, b in _OFFSETS:
+            block += weights[a + b].take(one | two[a:a + m] | c[a + b:a + b + m]) * inside[a + b]
+    # A word's own weight depends on its length alone.
+    own = sum(np.maximum(size - a - b, 0) * DECAY ** (2 * (a + b - 2)) for a, b in _OFFSETS)
+    return np.bincount(tokens.owner, sums, tokens.n) / np.sqrt(np.maximum(own, 1e-9))
 
 
 def feature_rows(tokens: Tokens) -> np.ndarray:
