@@ -6,7 +6,9 @@ salts. A text copied into a third of all rows leaves each task as one row and ea
 
 Defined results: a null text counts as empty; empty texts are copies of each other; rows that
 repeat a document id count each; of equal texts the row with the largest id stays, and where that
-id is itself repeated, every row with it stays; columns besides the id and text are ignored; an
+id is itself repeated, every row with it stays; a row without an id counts in its group, whose
+``keep_id`` is that of the others (null without others), and its own ``kept`` is null; texts of any
+length are compared whole; columns besides the id and text are ignored; an
 empty table gives an empty result.
 """
 

@@ -7,19 +7,25 @@
    both, in any order that is the same for all, so only that prefix is posted; pairs that no other
    document has count as the rarest and are not posted at all.
 3. Within a list, collisions are counted on the sketches. Pairs that are already connected are
-   skipped, so a list of n near copies gives n - 1 links, not n squared. Long lists are split into
-   blocks, and each pair of blocks is a task of its own.
-4. The links join documents into candidate groups. The texts of a group meet once more (large ones
-   in pairs of blocks), full sets are compared, and again only pairs not yet connected are tried.
-   What passes are true links; their components are the result.
+   skipped, so a list of n near copies gives n - 1 links, not n squared.
+4. The links join documents into candidate groups. The texts of a group meet once more, full sets
+   are compared, and again only pairs not yet connected are tried. What passes are true links;
+   their components are the result.
+
+Long lists and large groups are dealt into blocks, and a row meets its own block first. Then a few
+heads of each part that is connected meet in place of the whole part, which joins the parts of a
+family of near copies. Only where parts of one list are still apart do their rows meet: those
+outside the largest part with all others, those inside it with the rows outside (``joined``). So a
+family moves its rows a few times, whatever its size, and no pair goes untried.
 
 Both thresholds on counts lie about five standard deviations below what the least similar linked
 pair is expected to have, so a link is missed with a probability below one in a million.
 
 Defined results: a null text has no words; a text with fewer words than a shingle is one shingle; a
 text without words has an empty set and is linked with nothing; rows that repeat a document id are
-one document if their sets are equal, else the id's sets are linked with each other; extra columns
-are ignored; an empty table gives an empty result.
+one document if their sets are equal, else the id's sets are linked with each other; a row without
+an id is linked with nothing, and its component and ``kept`` are null; texts of any length are taken
+whole; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthlight.llm.components import connected
@@ -134,23 +140,20 @@ def postings(classes: DataFrame, settings: Settings) -> DataFrame:
     return held.select("doc", F.inline(prefix)).select("list", "doc", "n")
 
 
-def in_blocks(rows: DataFrame, key: str, n: str, doc: str, block: int) -> DataFrame:
-    """Adds i and j: each pair of rows of a key meets in one (key, i, j), of bounded size."""
-    count = F.expr(f"({n} + {block - 1}) div {block}")
-    own = F.pmod(F.xxhash64(F.lit(3), doc), count)
-    meet = F.when(count <= 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda x: F.struct(
-            F.least(x, own).alias("i"), F.greatest(x, own).alias("j")
-        ))
-    )
-    return rows.select("*", F.inline(meet)).drop(n)
+def _spread(seed: int, doc: str, blocks: Column) -> Column:
+    """Which of ``blocks`` a row belongs to."""
+    return F.pmod(F.xxhash64(F.lit(seed), doc), blocks)
+
+
+def _blocks(rows: Column, block: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(rows / block)).cast("long")
 
 
 class Union:
-    """Which of n members are connected."""
+    """Which members are connected, if those of one part are so from the start."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, parts: np.ndarray):
+        self.label = np.unique(parts, return_inverse=True)[1].reshape(-1)
 
     def join(self, i: int, others: np.ndarray) -> list[int]:
         """Connects ``i`` with the others; one of each part that was apart."""
@@ -161,17 +164,23 @@ class Union:
         return others[new].tolist()
 
 
-def spanning(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Links that connect what ``near`` connects; it is asked for pairs not yet connected only."""
-    union, todo = Union(n), list(range(n - 1, -1, -1))
-    done = np.zeros(n, bool)
+def spanning(
+    parts: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], side: np.ndarray | None = None
+) -> Iterator[tuple[int, int]]:
+    """Links that connect what ``near`` connects; it is asked for pairs not yet connected only, and,
+    where members have a ``side``, for pairs across sides only."""
+    union, todo = Union(parts), list(range(len(parts) - 1, -1, -1))
+    left = np.ones(len(parts), bool)
     # Members just connected come next, so that a group closes round them and later questions shrink.
     while todo:
         i = todo.pop()
-        if done[i]:
+        if not left[i]:
             continue
-        done[i] = True
-        others = np.flatnonzero((union.label != union.label[i]) & ~done)
+        left[i] = False
+        ask = (union.label != union.label[i]) & left
+        if side is not None:
+            ask &= side != side[i]
+        others = np.flatnonzero(ask)
         if len(others) == 0:
             continue
         hit = others[near(i, others)]
@@ -181,6 +190,12 @@ def spanning(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[
             todo.extend(hit.tolist())
 
 
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
+    """The parts of a group's rows, and their blocks where two blocks meet."""
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    return group.column("part").to_numpy(), None if i == j else group.column("own").to_numpy()
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys, from sorted batches."""
     held: list[pa.RecordBatch] = []
@@ -219,7 +234,7 @@ def candidate_links(lists: DataFrame, settings: Settings) -> DataFrame:
         out: list[tuple[int, int]] = []
         for group in _groups(batches, ["list", "i", "j"]):
             if group.num_rows > 1:
-                docs = group.column("doc").to_numpy()
+                docs, (parts, side) = group.column("doc").to_numpy(), _sides(group)
                 raw = b"".join(group.column("sketch").to_pylist())
                 low = np.frombuffer(raw, _U).reshape(len(docs), -1)
 
@@ -229,7 +244,7 @@ def candidate_links(lists: DataFrame, settings: Settings) -> DataFrame:
                     x |= x >> _U(1)
                     return SKETCH - np.bitwise_count(x & _NIBBLES).sum(1) >= least
 
-                out += [(int(docs[i]), int(docs[j])) for i, j in spanning(len(docs), near)]
+                out += [(int(docs[i]), int(docs[j])) for i, j in spanning(parts, near, side)]
             if len(out) > 10_000:
                 yield _links(out)
                 out = []
@@ -242,13 +257,14 @@ def true_links(groups: DataFrame, settings: Settings) -> DataFrame:
     """a, b: enough links between full sets to connect all that are linked, by group."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for group in _groups(batches, ["root", "i", "j"]):
+        for group in _groups(batches, ["list", "i", "j"]):
             docs = group.column("doc").to_numpy()
             if len(docs) > 1:
-                parts = [text_sets(c.slice(a, b - a), settings.words) for c in group.column("text").chunks for a, b in runs(c)]
-                sizes = np.concatenate([np.diff(first) for first, _ in parts])
+                parts, side = _sides(group)
+                sets = [text_sets(c.slice(a, b - a), settings.words) for c in group.column("text").chunks for a, b in runs(c)]
+                sizes = np.concatenate([np.diff(first) for first, _ in sets])
                 # Shingles as numbers from 0, so that a set can be marked in an array.
-                _, flat = np.unique(np.concatenate([hashes for _, hashes in parts]), return_inverse=True)
+                _, flat = np.unique(np.concatenate([hashes for _, hashes in sets]), return_inverse=True)
                 first = np.append(0, sizes.cumsum())
                 mark = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
 
@@ -267,7 +283,7 @@ def true_links(groups: DataFrame, settings: Settings) -> DataFrame:
                     out[some] = 100 * common >= settings.percent * (own + n - common)
                     return out
 
-                out += [(int(docs[i]), int(docs[j])) for i, j in spanning(len(docs), near)]
+                out += [(int(docs[i]), int(docs[j])) for i, j in spanning(parts, near, side)]
             if len(out) > 10_000:
                 yield _links(out)
                 out = []
@@ -276,6 +292,80 @@ def true_links(groups: DataFrame, settings: Settings) -> DataFrame:
     return groups.mapInArrow(work, "a bigint, b bigint")
 
 
+def joined(
+    rows: DataFrame, payload: DataFrame, links: Callable[[DataFrame], DataFrame], block: int,
+    given: DataFrame | None = None,
+) -> DataFrame:
+    """node, root: the components of all links between rows of one list, and of those given.
+
+    ``rows``: list, doc and n, the length of the list; read several times, so better written before.
+    ``links`` gets blocks of rows (list, i, j, own, doc, part) with their payload.
+    """
+    name = payload.columns[1]
+
+    def meet(dealt: DataFrame) -> DataFrame:
+        # Merged at every size: a broadcast, while the rows are few, would make small inputs tell
+        # nothing of the shuffle that large ones need.
+        held = dealt.select("list", "i", "j", "own", "doc", "part").join(payload.hint("merge"), "doc")
+        ordered = held.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "doc")
+        return links(ordered.select("list", "i", "j", "own", "doc", "part", name))
+
+    def alone(some: DataFrame, own: Column) -> DataFrame:
+        """Every row in its own block."""
+        return meet(some.withColumn("own", own).withColumn("i", F.col("own")).withColumn("j", F.col("own")))
+
+    first = alone(rows.withColumn("part", F.col("doc")), _spread(3, "doc", _blocks(F.col("n"), block)))
+    if given is not None:
+        first = first.unionByName(given)
+    large = rows.where(F.col("n") > block).select("list", "doc")
+    if large.isEmpty():
+        return connected(first)
+    roots = cut_lineage(connected(first))
+    large = cut_lineage(large)
+
+    def in_parts() -> DataFrame:
+        return large.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(
+            "list", "doc", F.coalesce("root", "doc").alias("part")
+        )
+
+    def with_more(more: DataFrame) -> DataFrame:
+        return cut_lineage(connected(roots.toDF("a", "b").unionByName(more)))
+
+    # Heads of the parts: up to eight of each, in place of all its rows.
+    for turn in range(4):
+        heads = cut_lineage(
+            in_parts().groupBy("list", "part", _spread(5, "doc", F.lit(8)).alias("slot")).agg(F.min("doc").alias("doc"))
+        )
+        apart = cut_lineage(
+            heads.groupBy("list").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+            .where("low < high").select("list", "n")
+        )
+        more = cut_lineage(alone(heads.join(apart, "list"), _spread(7 + turn, "doc", _blocks(F.col("n"), block))))
+        if more.isEmpty():
+            break
+        roots = with_more(more)
+        if apart.where(F.col("n") > block).isEmpty():
+            break
+    # What is still apart: rows outside the largest part of their list meet all that are not of theirs.
+    held = cut_lineage(in_parts())
+    largest = cut_lineage(
+        held.groupBy("list", "part").agg(F.count("*").alias("n")).groupBy("list").agg(
+            F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"),
+        ).where("parts > 1").select(
+            "list", F.col("most.part").alias("top"), _blocks(F.col("most.n"), block).alias("inner"),
+            _blocks(F.col("n") - F.col("most.n"), block).alias("outer"),
+        )
+    )
+    rest = held.join(largest, "list").withColumn("own", F.when(
+        F.col("part") == F.col("top"), _spread(3, "doc", F.col("inner"))
+    ).otherwise(F.col("inner") + _spread(3, "doc", F.col("outer"))))
+    start = F.when(F.col("part") == F.col("top"), F.col("inner")).otherwise(0).cast("long")
+    pairs = F.transform(F.sequence(start, F.col("inner") + F.col("outer") - 1), lambda x: F.struct(
+        F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")
+    ))
+    return with_more(meet(rest.select("*", F.inline(pairs))))
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     signed = cut_lineage(signatures(docs, settings))
@@ -289,23 +379,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     heads = full.join(
         member.where("doc_id = doc").select("doc_id", "set_hash").distinct(), ["doc_id", "set_hash"]
     ).dropDuplicates(["doc_id", "set_hash"]).select(F.col("doc_id").alias("doc"), "signature", "sketch")
-    lists = in_blocks(postings(heads.select("doc", "signature"), settings), "list", "n", "doc", settings.list_block)
-    lists = lists.join(heads.select("doc", "sketch"), "doc").repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "doc")
-    candidates = connected(candidate_links(lists.select("list", "i", "j", "doc", "sketch"), settings))
-    candidates = cut_lineage(candidates)
+    lists = cut_lineage(postings(heads.select("doc", "signature"), settings))
+    candidates = cut_lineage(joined(
+        lists, heads.select("doc", "sketch"), lambda rows: candidate_links(rows, settings), settings.list_block
+    ))
     sizes = candidates.groupBy("root").agg(F.count("*").alias("n"))
-    grouped = in_blocks(
-        candidates.join(sizes, "root").withColumnRenamed("node", "doc"), "root", "n", "doc", settings.text_block
-    )
-    # Merged at every size: a broadcast of the groups, while they are few, would make small inputs
-    # tell nothing of the shuffle that large ones need.
-    texts = grouped.join(docs.select(F.col("doc_id").alias("doc"), "text").hint("merge"), "doc").repartition(
-        "root", "i", "j"
-    ).sortWithinPartitions("root", "i", "j", "doc")
-    links = true_links(texts.select("root", "i", "j", "doc", "text"), settings)
+    grouped = candidates.join(sizes, "root").select(F.col("root").alias("list"), F.col("node").alias("doc"), "n")
     # Rows of one id that differ belong together, as do those of a class.
     same = member.where("doc_id != doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
-    roots = connected(links.unionByName(same))
+    roots = joined(
+        grouped, docs.select(F.col("doc_id").alias("doc"), "text"), lambda rows: true_links(rows, settings),
+        settings.text_block, same,
+    )
     rows = signed.select("doc_id", "n_shingles")
     return rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"),

@@ -92,13 +92,63 @@ def test_near_repeated_rows_and_empty(repeated, nothing, rows):
     assert near.near_duplicates(nothing).count() == 0
 
 
+def test_near_moves_a_large_family_a_few_times(spark, monkeypatch):
+    """4,000 different near copies and as many strangers: blocks of 100 would meet in 820 pairs."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+
+    def edited(k):
+        words = list(base)
+        words[k % 200] = f"x{k}"
+        return " ".join(words)
+    texts = [edited(k) for k in range(4000)] + [" ".join(f"y{v}" for v in rng.integers(0, 10**6, 30)) for _ in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    moved = {}
+    for name in ("candidate_links", "true_links"):
+        def counted(rows, settings, plain=getattr(near, name), name=name):
+            moved.setdefault(name, []).append(rows.count())
+            return plain(rows, settings)
+        monkeypatch.setattr(near, name, counted)
+    found = {r.doc_id: r.component_id for r in near.near_duplicates(docs, near.Settings(list_block=100, text_block=100)).collect()}
+    assert all(found[k] == (0 if k < 4000 else k) for k in range(4500))
+    prefix = near.COORDINATES + 1 - near.Settings().agree
+    assert moved["candidate_links"][0] <= prefix * 4500 and sum(moved["candidate_links"]) <= 2 * prefix * 4500
+    assert sum(moved["true_links"]) <= 2 * 4500
+
+
+def test_near_joins_parts_that_only_rows_outside_the_heads_link(spark):
+    """Chains: two blocks are linked by single rows, which no head need be; nothing may stay apart."""
+    words = [f"c{i}" for i in range(600)]
+    # Each text shares 190 of 200 words with the next, and nothing with those 20 steps on.
+    rows = [(1000 - k, " ".join(words[10 * k:10 * k + 200])) for k in range(41)]
+    rows += [(2000 + k, " ".join(words[100:300] + [f"t{k}"])) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block in (2, 5, 2048):
+        settings = near.Settings(list_block=block, text_block=block)
+        assert as_set(near.near_duplicates(docs, settings)) == brute_near(rows, 3, 85)
+
+
+def test_near_and_exact_without_ids_and_very_long(spark):
+    long, stream = " ".join(f"v{i}" for i in range(20_000)), "z" * 3_000_000
+    rows = [(1, long), (2, long + " end"), (3, stream), (4, stream), (None, long), (None, "alone"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near.near_duplicates(docs).collect() if r.doc_id)
+    assert found == [(1, 19998, 1, True), (2, 19999, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True)]
+    lost = [(r.component_id, r.kept) for r in near.near_duplicates(docs).collect() if r.doc_id is None]
+    assert lost == [(None, None)] * 2
+    exact = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_duplicates(docs).collect()}
+    assert exact == {
+        (1, 1, 2, True), (None, 1, 2, None), (2, 2, 1, True), (3, 4, 2, False), (4, 4, 2, True), (None, None, 1, None), (5, 5, 1, True),
+    }
+
+
 def test_spanning_connects_what_is_near():
     rng = np.random.default_rng(1)
     for _ in range(30):
         n = int(rng.integers(2, 40))
         close = rng.random((n, n)) < 0.08
         close |= close.T
-        links = list(near.spanning(n, lambda i, others, c=close: c[i, others]))
+        links = list(near.spanning(np.arange(n), lambda i, others, c=close: c[i, others]))
         label = np.arange(n)
         for i, j in zip(*np.nonzero(close), strict=True):
             label[label == label[j]] = label[i]
