@@ -13,8 +13,8 @@
    their components are the result.
 
 Long lists and large groups are dealt into blocks, and a row meets its own block first. Then a few
-heads of each part that is connected meet in place of the whole part, which joins the parts of a
-family of near copies. Only where parts of one list are still apart do their rows meet: those
+heads of each part of a block meet in place of the whole part, which joins the parts of a family of
+near copies. Only where parts of one list are still apart do their rows meet: those
 outside the largest part with all others, those inside it with the rows outside (``joined``). So a
 family moves its rows a few times, whatever its size, and no pair goes untried.
 
@@ -46,6 +46,8 @@ _U = np.uint64
 COORDINATES, SKETCH = 64, 256
 _SEEDS = np.random.default_rng(29).integers(1, 1 << 63, SKETCH, dtype=np.uint64) | _U(1)
 _NIBBLES = _U(0x1111111111111111)
+#: Rows that stand for a part of a block.
+HEADS = 8
 
 
 @dataclass(frozen=True)
@@ -163,14 +165,20 @@ class Union:
         self.label[np.isin(self.label, parts)] = mine
         return others[new].tolist()
 
+    def heads(self) -> Iterator[int]:
+        """Up to ``HEADS`` members of each part, spread over it."""
+        order = np.argsort(self.label, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(self.label[order])) + 1):
+            yield from part[::-(-len(part) // HEADS)].tolist()
+
 
 def spanning(
-    parts: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], side: np.ndarray | None = None
+    union: Union, near: Callable[[int, np.ndarray], np.ndarray], side: np.ndarray | None = None
 ) -> Iterator[tuple[int, int]]:
     """Links that connect what ``near`` connects; it is asked for pairs not yet connected only, and,
     where members have a ``side``, for pairs across sides only."""
-    union, todo = Union(parts), list(range(len(parts) - 1, -1, -1))
-    left = np.ones(len(parts), bool)
+    todo = list(range(len(union.label) - 1, -1, -1))
+    left = np.ones(len(union.label), bool)
     # Members just connected come next, so that a group closes round them and later questions shrink.
     while todo:
         i = todo.pop()
@@ -190,10 +198,23 @@ def spanning(
             todo.extend(hit.tolist())
 
 
-def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
-    """The parts of a group's rows, and their blocks where two blocks meet."""
-    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-    return group.column("part").to_numpy(), None if i == j else group.column("own").to_numpy()
+def _found(group: pa.Table, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple]:
+    """Of a group of rows, the links of parts to the least part they are connected with, and, if the
+    list has more blocks, the heads of what they make up (list, head, least part)."""
+    i, j, more = (group.column(c)[0].as_py() for c in ("i", "j", "more"))
+    docs, part = group.column("doc").to_numpy(), group.column("part").to_numpy()
+    union = Union(part)
+    for _ in spanning(union, near, None if i == j else group.column("own").to_numpy()):
+        pass
+    least = np.full(len(docs), np.iinfo(np.int64).max)
+    np.minimum.at(least, union.label, part)
+    least = least[union.label]
+    apart = np.unique(np.stack([part, least], 1)[part != least], axis=0)
+    out = [(None, a, b) for a, b in apart.tolist()]
+    if more:
+        key = group.column("list")[0].as_py()
+        out += [(key, int(docs[k]), int(least[k])) for k in union.heads()]
+    return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -221,22 +242,20 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*rows, strict=True) if rows else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _links(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["list", "a", "b"])
 
 
 def candidate_links(lists: DataFrame, settings: Settings) -> DataFrame:
-    """a, b: enough links between sketches to connect all that could be linked, by list."""
+    """list, a, b: heads of parts (see ``_found``), and enough links between sketches to connect all that could be linked, by list."""
     least = settings.sketch_agree
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
+        out: list[tuple] = []
         for group in _groups(batches, ["list", "i", "j"]):
-            if group.num_rows > 1:
-                docs, (parts, side) = group.column("doc").to_numpy(), _sides(group)
-                raw = b"".join(group.column("sketch").to_pylist())
-                low = np.frombuffer(raw, _U).reshape(len(docs), -1)
+            if group.num_rows > 1 or group.column("more")[0].as_py():
+                low = np.frombuffer(b"".join(group.column("sketch").to_pylist()), _U).reshape(group.num_rows, -1)
 
                 def near(i: int, others: np.ndarray) -> np.ndarray:
                     x = low[others] ^ low[i]  # noqa: B023
@@ -244,23 +263,21 @@ def candidate_links(lists: DataFrame, settings: Settings) -> DataFrame:
                     x |= x >> _U(1)
                     return SKETCH - np.bitwise_count(x & _NIBBLES).sum(1) >= least
 
-                out += [(int(docs[i]), int(docs[j])) for i, j in spanning(parts, near, side)]
+                out += _found(group, near)
             if len(out) > 10_000:
                 yield _links(out)
                 out = []
         yield _links(out)
 
-    return lists.mapInArrow(work, "a bigint, b bigint")
+    return lists.mapInArrow(work, "list bigint, a bigint, b bigint")
 
 
 def true_links(groups: DataFrame, settings: Settings) -> DataFrame:
-    """a, b: enough links between full sets to connect all that are linked, by group."""
+    """list, a, b: heads of parts (see ``_found``), and enough links between full sets to connect all that are linked, by group."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
+        out: list[tuple] = []
         for group in _groups(batches, ["list", "i", "j"]):
-            docs = group.column("doc").to_numpy()
-            if len(docs) > 1:
-                parts, side = _sides(group)
+            if group.num_rows > 1 or group.column("more")[0].as_py():
                 sets = [text_sets(c.slice(a, b - a), settings.words) for c in group.column("text").chunks for a, b in runs(c)]
                 sizes = np.concatenate([np.diff(first) for first, _ in sets])
                 # Shingles as numbers from 0, so that a set can be marked in an array.
@@ -283,13 +300,13 @@ def true_links(groups: DataFrame, settings: Settings) -> DataFrame:
                     out[some] = 100 * common >= settings.percent * (own + n - common)
                     return out
 
-                out += [(int(docs[i]), int(docs[j])) for i, j in spanning(parts, near, side)]
+                out += _found(group, near)
             if len(out) > 10_000:
                 yield _links(out)
                 out = []
         yield _links(out)
 
-    return groups.mapInArrow(work, "a bigint, b bigint")
+    return groups.mapInArrow(work, "list bigint, a bigint, b bigint")
 
 
 def joined(
@@ -299,55 +316,49 @@ def joined(
     """node, root: the components of all links between rows of one list, and of those given.
 
     ``rows``: list, doc and n, the length of the list; read several times, so better written before.
-    ``links`` gets blocks of rows (list, i, j, own, doc, part) with their payload.
+    ``links`` gets blocks of rows (list, i, j, own, doc, part, more) with their payload.
     """
     name = payload.columns[1]
 
     def meet(dealt: DataFrame) -> DataFrame:
         # Merged at every size: a broadcast, while the rows are few, would make small inputs tell
         # nothing of the shuffle that large ones need.
-        held = dealt.select("list", "i", "j", "own", "doc", "part").join(payload.hint("merge"), "doc")
+        some = ("list", "i", "j", "own", "doc", "part", "more")
+        held = dealt.select(*some).join(payload.hint("merge"), "doc")
         ordered = held.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "doc")
-        return links(ordered.select("list", "i", "j", "own", "doc", "part", name))
-
-    def alone(some: DataFrame, own: Column) -> DataFrame:
-        """Every row in its own block."""
-        return meet(some.withColumn("own", own).withColumn("i", F.col("own")).withColumn("j", F.col("own")))
-
-    first = alone(rows.withColumn("part", F.col("doc")), _spread(3, "doc", _blocks(F.col("n"), block)))
+        return cut_lineage(links(ordered.select(*some, name)))
+
+    def alone(some: DataFrame, seed: int) -> DataFrame:
+        """Every row in its own block, of about ``n`` rows of its list."""
+        blocks = _blocks(F.col("n"), block)
+        own = _spread(seed, "doc", blocks)
+        return meet(some.select(
+            "list", "doc", "part", own.alias("own"), own.alias("i"), own.alias("j"), (blocks > 1).alias("more")
+        ))
+
+    found = alone(rows.withColumn("part", F.col("doc")), 3)
+    all_links, heads = found.select("a", "b"), found.where("list is not null")
     if given is not None:
-        first = first.unionByName(given)
-    large = rows.where(F.col("n") > block).select("list", "doc")
-    if large.isEmpty():
-        return connected(first)
-    roots = cut_lineage(connected(first))
-    large = cut_lineage(large)
-
-    def in_parts() -> DataFrame:
-        return large.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(
-            "list", "doc", F.coalesce("root", "doc").alias("part")
-        )
-
-    def with_more(more: DataFrame) -> DataFrame:
-        return cut_lineage(connected(roots.toDF("a", "b").unionByName(more)))
-
-    # Heads of the parts: up to eight of each, in place of all its rows.
-    for turn in range(4):
-        heads = cut_lineage(
-            in_parts().groupBy("list", "part", _spread(5, "doc", F.lit(8)).alias("slot")).agg(F.min("doc").alias("doc"))
-        )
-        apart = cut_lineage(
-            heads.groupBy("list").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
-            .where("low < high").select("list", "n")
-        )
-        more = cut_lineage(alone(heads.join(apart, "list"), _spread(7 + turn, "doc", _blocks(F.col("n"), block))))
-        if more.isEmpty():
-            break
-        roots = with_more(more)
-        if apart.where(F.col("n") > block).isEmpty():
+        all_links = all_links.unionByName(given)
+    n = heads.count()
+    if n == 0:
+        return connected(all_links)
+    # Heads meet in place of their parts, until those of a list are one block or no longer fewer.
+    for turn in range(8):
+        sizes = heads.groupBy("list").agg(F.count("*").alias("n"))
+        heads = heads.select("list", F.col("a").alias("doc"), F.col("b").alias("part"))
+        found = alone(heads.join(sizes, "list"), 5 + turn)
+        all_links = all_links.unionByName(found.select("a", "b"))
+        heads = found.where("list is not null")
+        before, n = n, heads.count()
+        if 2 * n > before or n == 0:
             break
+    roots = cut_lineage(connected(all_links))
     # What is still apart: rows outside the largest part of their list meet all that are not of theirs.
-    held = cut_lineage(in_parts())
+    held = cut_lineage(
+        rows.where(F.col("n") > block).select("list", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left")
+        .select("list", "doc", F.coalesce("root", "doc").alias("part"))
+    )
     largest = cut_lineage(
         held.groupBy("list", "part").agg(F.count("*").alias("n")).groupBy("list").agg(
             F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"),
@@ -356,14 +367,17 @@ def joined(
             _blocks(F.col("n") - F.col("most.n"), block).alias("outer"),
         )
     )
-    rest = held.join(largest, "list").withColumn("own", F.when(
+    if largest.isEmpty():
+        return roots
+    rest = held.join(largest, "list").withColumn("more", F.lit(False)).withColumn("own", F.when(
         F.col("part") == F.col("top"), _spread(3, "doc", F.col("inner"))
     ).otherwise(F.col("inner") + _spread(3, "doc", F.col("outer"))))
     start = F.when(F.col("part") == F.col("top"), F.col("inner")).otherwise(0).cast("long")
     pairs = F.transform(F.sequence(start, F.col("inner") + F.col("outer") - 1), lambda x: F.struct(
         F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")
     ))
-    return with_more(meet(rest.select("*", F.inline(pairs))))
+    last = meet(rest.select("*", F.inline(pairs))).select("a", "b")
+    return roots if last.isEmpty() else connected(roots.toDF("a", "b").unionByName(last))
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -376,9 +390,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         full.select("doc_id", "set_hash", "n_shingles").join(classes, ["set_hash", "n_shingles"])
         .select("doc_id", "set_hash", "n_shingles", "doc")
     )
-    heads = full.join(
+    heads = cut_lineage(full.join(
         member.where("doc_id = doc").select("doc_id", "set_hash").distinct(), ["doc_id", "set_hash"]
-    ).dropDuplicates(["doc_id", "set_hash"]).select(F.col("doc_id").alias("doc"), "signature", "sketch")
+    ).dropDuplicates(["doc_id", "set_hash"]).select(F.col("doc_id").alias("doc"), "signature", "sketch"))
     lists = cut_lineage(postings(heads.select("doc", "signature"), settings))
     candidates = cut_lineage(joined(
         lists, heads.select("doc", "sketch"), lambda rows: candidate_links(rows, settings), settings.list_block

@@ -148,7 +148,7 @@ def test_spanning_connects_what_is_near():
         n = int(rng.integers(2, 40))
         close = rng.random((n, n)) < 0.08
         close |= close.T
-        links = list(near.spanning(np.arange(n), lambda i, others, c=close: c[i, others]))
+        links = list(near.spanning(near.Union(np.arange(n)), lambda i, others, c=close: c[i, others]))
         label = np.arange(n)
         for i, j in zip(*np.nonzero(close), strict=True):
             label[label == label[j]] = label[i]
