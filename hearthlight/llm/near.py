@@ -320,23 +320,32 @@ def joined(
     """
     name = payload.columns[1]
 
-    def meet(dealt: DataFrame) -> DataFrame:
-        # Merged at every size: a broadcast, while the rows are few, would make small inputs tell
-        # nothing of the shuffle that large ones need.
-        some = ("list", "i", "j", "own", "doc", "part", "more")
-        held = dealt.select(*some).join(payload.hint("merge"), "doc")
+    some = ("list", "i", "j", "own", "doc", "part", "more")
+
+    def linked(held: DataFrame) -> DataFrame:
         ordered = held.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "doc")
         return cut_lineage(links(ordered.select(*some, name)))
 
-    def alone(some: DataFrame, seed: int) -> DataFrame:
+    def alone(members: DataFrame, seed: int) -> DataFrame:
         """Every row in its own block, of about ``n`` rows of its list."""
         blocks = _blocks(F.col("n"), block)
         own = _spread(seed, "doc", blocks)
-        return meet(some.select(
+        return members.select(
             "list", "doc", "part", own.alias("own"), own.alias("i"), own.alias("j"), (blocks > 1).alias("more")
-        ))
+        )
+
+    # Merged at every size: a broadcast, while the rows are few, would make small inputs tell nothing
+    # of the shuffle that large ones need.
+    held = alone(rows.withColumn("part", F.col("doc")), 3).join(payload.hint("merge"), "doc")
+    if not rows.where(F.col("n") > block).isEmpty():
+        # Rows of several blocks meet again; their payload is not fetched from the whole table twice.
+        held = cut_lineage(held)
+    kept = held.where("more").select("list", "doc", name)
+
+    def meet(dealt: DataFrame) -> DataFrame:
+        return linked(dealt.select(*some).join(kept, ["list", "doc"]))
 
-    found = alone(rows.withColumn("part", F.col("doc")), 3)
+    found = linked(held)
     all_links, heads = found.select("a", "b"), found.where("list is not null")
     if given is not None:
         all_links = all_links.unionByName(given)
@@ -347,7 +356,7 @@ def joined(
     for turn in range(8):
         sizes = heads.groupBy("list").agg(F.count("*").alias("n"))
         heads = heads.select("list", F.col("a").alias("doc"), F.col("b").alias("part"))
-        found = alone(heads.join(sizes, "list"), 5 + turn)
+        found = meet(alone(heads.join(sizes, "list"), 5 + turn))
         all_links = all_links.unionByName(found.select("a", "b"))
         heads = found.where("list is not null")
         before, n = n, heads.count()
@@ -355,12 +364,12 @@ def joined(
             break
     roots = cut_lineage(connected(all_links))
     # What is still apart: rows outside the largest part of their list meet all that are not of theirs.
-    held = cut_lineage(
+    placed = cut_lineage(
         rows.where(F.col("n") > block).select("list", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left")
         .select("list", "doc", F.coalesce("root", "doc").alias("part"))
     )
     largest = cut_lineage(
-        held.groupBy("list", "part").agg(F.count("*").alias("n")).groupBy("list").agg(
+        placed.groupBy("list", "part").agg(F.count("*").alias("n")).groupBy("list").agg(
             F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"),
         ).where("parts > 1").select(
             "list", F.col("most.part").alias("top"), _blocks(F.col("most.n"), block).alias("inner"),
@@ -369,7 +378,7 @@ def joined(
     )
     if largest.isEmpty():
         return roots
-    rest = held.join(largest, "list").withColumn("more", F.lit(False)).withColumn("own", F.when(
+    rest = placed.join(largest, "list").withColumn("more", F.lit(False)).withColumn("own", F.when(
         F.col("part") == F.col("top"), _spread(3, "doc", F.col("inner"))
     ).otherwise(F.col("inner") + _spread(3, "doc", F.col("outer"))))
     start = F.when(F.col("part") == F.col("top"), F.col("inner")).otherwise(0).cast("long")
