@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hearthlight.functions import scores as S
 from hearthlight.functions.text import explode_chunks
 from hearthlight.labels import LABELS
+from hearthlight.operators.texts import KEY, split
 from hearthlight.sources.ledger import Ledger
 
 Scorer = Callable[[list[str]], list[dict[str, float]]]
@@ -54,7 +55,8 @@ def score_with_memo(df: DataFrame, scorer: Scorer, ledger: Ledger, content: str
                     key: str = "interaction_id", batch: int = 32, slices: int = 16) -> DataFrame:
     """As ``score_texts``, but equal texts reach the scorer once, and texts of earlier runs not at
     all. The ledger holds ``SCORES``; texts with failed chunks are sent again next time."""
-    asked = df.select(key, F.coalesce(content, F.lit("")).alias("prompt"))
+    apart = split(df.select(key, F.coalesce(content, F.lit("")).alias("prompt")), "prompt", key)
+    asked = apart.texts.select(KEY, "prompt")
 
     def answer(requests: DataFrame) -> DataFrame:
         scored = score_texts(requests, scorer, "prompt", "request", batch)
@@ -62,7 +64,7 @@ def score_with_memo(df: DataFrame, scorer: Scorer, ledger: Ledger, content: str
         return scored.select("request", F.when(F.col("failed_chunks") == 0, whole).alias("answer"))
 
     ledger.ask(asked, answer, slices)
-    rows = ledger.answers(asked)
+    rows = apart.rows.join(ledger.answers(asked), KEY)
     return rows.select(
         key, *[F.coalesce(F.col("answer")[label], F.lit(0.0)).alias(label) for label in LABELS],
         F.col("answer").isNull().alias("failed"))
