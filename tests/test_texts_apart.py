@@ -81,3 +81,20 @@ def test_a_miss_sample_draws_ids(spark):
     out = evaluation.miss_sample(rows, rows.where("interaction_id = 3"), 2)
     assert out.count() == 2 and "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
     assert 3 not in [r.interaction_id for r in out.collect()]
+
+
+def test_texts_do_not_move_with_the_rows_that_repeat_them(spark):
+    v, moved = Views(spark, SMALL), []
+
+    def read(ids):
+        moved.append(v.interactions_of(ids))
+        return moved[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        apart = texts.split(v.interactions, read=read)
+        plan = moved[0].select("interaction_id", "content")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join Inner") < plan.index("Join LeftSemi")  # ids are left out below the join with the texts
+        assert v.parted.texts.count() == apart.texts.count() == v.interactions.select("content").distinct().count()
+        assert apart.rows.count() == v.interactions.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
