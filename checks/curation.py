@@ -67,7 +67,7 @@ def _(v):
 
 @check("i3_training_sample", _sample_sql(SIZE), ("masks",))
 def _(v):
-    return sampling.draw_training_sample(v.interactions, v.scores, SIZE, master_rows(v)).select(
+    return sampling.draw_training_sample(v.parted, v.scores, SIZE, master_rows(v)).select(
         "text_hash", "sampler_bucket")
 
 

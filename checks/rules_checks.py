@@ -278,7 +278,7 @@ def _(v):
 
 
 def training_rows(v):
-    return sampling.training_candidates(v.interactions, v.scores, master_rows(v))
+    return sampling.training_candidates(v.parted, v.scores, master_rows(v))
 
 
 def master_rows(v):

@@ -98,3 +98,18 @@ def test_texts_do_not_move_with_the_rows_that_repeat_them(spark):
         assert apart.rows.count() == v.interactions.count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_parted_rows_give_the_same_scores_and_candidates(spark):
+    from checks.rules_checks import master_rows
+    from hearthlight.operators import sampling
+
+    v = Views(spark, SMALL)
+    some = v.parted.where("interaction_id % 3 = 0")
+    assert some.rows.count() == v.interactions.where("interaction_id % 3 = 0").count()
+    assert some.texts.count() == v.interactions.where("interaction_id % 3 = 0").select("content").distinct().count()
+
+    def drawn(rows):
+        got = sampling.training_candidates(rows, v.scores, master_rows(v))
+        return sorted(map(repr, got.select("interaction_id", "text_hash", "content", "entropy", "commenter_name").collect()))
+    assert drawn(v.parted) == drawn(v.interactions)
