@@ -97,9 +97,9 @@ def _(v):
 @check("c10_scored_once", _SCORED, ("interactions",))
 def _(v):
     ledger = Ledger(v.spark, new_folder(v.spark, "scores"), scoring.SCORES)
-    half = v.interactions.filter("interaction_id % 2 = 0")
+    half = v.parted.where("interaction_id % 2 = 0")
     scoring.score_with_memo(half, length_scorer, ledger, slices=2)
-    return scoring.score_with_memo(v.interactions, length_scorer, ledger, slices=2).select(
+    return scoring.score_with_memo(v.parted, length_scorer, ledger, slices=2).select(
         "interaction_id", "joy", "fear", "neutral")
 
 

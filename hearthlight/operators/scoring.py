@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hearthlight.functions import scores as S
 from hearthlight.functions.text import explode_chunks
 from hearthlight.labels import LABELS
-from hearthlight.operators.texts import KEY, split
+from hearthlight.operators.texts import KEY, Apart, split
 from hearthlight.sources.ledger import Ledger
 
 Scorer = Callable[[list[str]], list[dict[str, float]]]
@@ -51,12 +51,13 @@ def score_texts(df: DataFrame, scorer: Scorer, content: str = "content",
     return S.max_pool(pieces.mapInPandas(run, shape), key, failed_chunks=F.sum("failed"))
 
 
-def score_with_memo(df: DataFrame, scorer: Scorer, ledger: Ledger, content: str = "content",
+def score_with_memo(df: DataFrame | Apart, scorer: Scorer, ledger: Ledger, content: str = "content",
                     key: str = "interaction_id", batch: int = 32, slices: int = 16) -> DataFrame:
     """As ``score_texts``, but equal texts reach the scorer once, and texts of earlier runs not at
-    all. The ledger holds ``SCORES``; texts with failed chunks are sent again next time."""
-    apart = split(df.select(key, F.coalesce(content, F.lit("")).alias("prompt")), "prompt", key)
-    asked = apart.texts.select(KEY, "prompt")
+    all. The ledger holds ``SCORES``; texts with failed chunks are sent again next time. Rows may come parted
+    from their texts already."""
+    apart = df if isinstance(df, Apart) else split(df.select(key, content), content, key)
+    asked = apart.texts.select(KEY, F.coalesce(apart.text, F.lit("")).alias("prompt"))
 
     def answer(requests: DataFrame) -> DataFrame:
         scored = score_texts(requests, scorer, "prompt", "request", batch)

@@ -113,3 +113,9 @@ def test_parted_rows_give_the_same_scores_and_candidates(spark):
         got = sampling.training_candidates(rows, v.scores, master_rows(v))
         return sorted(map(repr, got.select("interaction_id", "text_hash", "content", "entropy", "commenter_name").collect()))
     assert drawn(v.parted) == drawn(v.interactions)
+    rows = held(spark).where("interaction_id IS NOT NULL")
+
+    def scored(given):
+        ledger = Ledger(spark, new_folder(spark, "scores"), scoring.SCORES)
+        return sorted(map(repr, scoring.score_with_memo(given, length_scorer, ledger, slices=1).collect()))
+    assert scored(texts.split(rows)) == scored(rows)
