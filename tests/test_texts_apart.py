@@ -119,3 +119,13 @@ def test_parted_rows_give_the_same_scores_and_candidates(spark):
         ledger = Ledger(spark, new_folder(spark, "scores"), scoring.SCORES)
         return sorted(map(repr, scoring.score_with_memo(given, length_scorer, ledger, slices=1).collect()))
     assert scored(texts.split(rows)) == scored(rows)
+
+
+def test_rules_read_texts_in_more_parts_than_there_are_cores(spark):
+    apart, dealt = texts.split(held(spark).coalesce(1)), []
+
+    def work(rows):
+        dealt.append(rows.rdd.getNumPartitions())
+        return fraud.screen(rows)
+    assert apart.judged(work).count() == len(HELD)
+    assert dealt[0] >= 2 * spark.sparkContext.defaultParallelism > apart.texts.rdd.getNumPartitions()
