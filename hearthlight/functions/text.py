@@ -17,8 +17,9 @@ from hearthlight.operators.barrier import evaluate_once
 _NON_SPACE = (
     r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE = f"[ {_NON_SPACE}]"
-_RUNS = f"[{_NON_SPACE}]{WHITESPACE}*| {WHITESPACE}+"
+# The first ranges rule out printable ASCII by two comparisons, before the list is gone through.
+WHITESPACE = rf"[\x00- \x7f-\uffff&&[ {_NON_SPACE}]]"
+_RUNS = rf"[\x00-\x1f\x7f-\uffff&&[{_NON_SPACE}]]{WHITESPACE}*| {WHITESPACE}+"
 _TRIM = (
     " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
     + "".join(map(chr, range(0x2000, 0x200B)))

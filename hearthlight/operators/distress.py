@@ -75,7 +75,9 @@ def with_text_signals(df: DataFrame, content: str = "content") -> DataFrame:
     })
     # The context patterns only matter beside three support hits.
     return evaluate_once(found, {
-        "_context": (F.size("support_need_hits") >= 3) & M.any_pattern(low, R.HARDSHIP_CONTEXT),
+        "_context": (F.size("support_need_hits") >= 3)
+        & M.any_term(low, [M.literal_start(p) for p in R.HARDSHIP_CONTEXT])
+        & M.any_pattern(low, [M.start_first(p) for p in R.HARDSHIP_CONTEXT]),
     }).drop("_norm", "_low", "_hits")
 
 

@@ -21,6 +21,22 @@ _ACCOUNT_STARTS = (
     "unauthorized access", "failed login", "verify your account", "security notification",
     "internet banking", "account locked", "account suspended", "confirm identity",
 )
+# A number's optional country code decides nothing about whether there is one.
+_PHONE_CORE = R.PHONE.removeprefix(r"(?:(?:\+?1\s*[-.(]?)?\s*").removesuffix(")")
+# What a text must contain for the patterns of a gate to match; they run only where it does.
+_GATE_WORDS = {
+    "peer": ("i help with", "i can help with", "i mentor", "i assist", "i offer guidance", "i volunteer",
+             "i provide support", "i have experience with", "i trained", "i specialize", "i focus"),
+    "service offering": ("i offer", "i provide", "i sell"),
+    "concrete description": ("handmade", "custom", "vintage", "professional", "licensed", "insured"),
+    "pricing transparency": ("$", "cost", "price", "fee"),
+    "contact methods": ("email", "phone", "website", "facebook", "etsy", "shopify"),
+    "awareness": tuple(word for talk in R.AWARENESS_TALK for word in M.alternatives(talk)),
+}
+_GATE_TERMS = tuple(dict.fromkeys([
+    *R.PEER_BLOCKERS, *R.BUSINESS_BLOCKERS, *R.AWARENESS_BLOCKERS,
+    *(word for words in _GATE_WORDS.values() for word in words),
+]))
 _GROUPS = {
     "urgency": R.URGENCY_TERMS, "investment": R.INVESTMENT_TERMS, "job": R.JOB_TERMS,
     "smishing": R.SMISHING_TERMS, "loan": R.LOAN_TERMS, "engagement": R.ENGAGEMENT_TERMS,
@@ -43,7 +59,7 @@ def payment_term(term: str, low: Column, hits: Column) -> Column:
     """Short alphabetic terms must stand alone; longer ones may be part of a word."""
     found = M.in_hits(hits, term)
     if term.isalpha() and len(term) <= 4:
-        return found & low.rlike(f"(?<![a-z0-9]){term}(?![a-z0-9])")
+        return found & low.rlike(f"(?={term})(?<![a-z0-9]){term}(?![a-z0-9])")
     return found
 
 
@@ -51,10 +67,11 @@ def _signals(raw: Column, low: Column, hits: Column, digits: Column) -> dict[str
     """All text tests of the heuristic; pattern tests run only where a cheap test allows."""
     out = {name: M.any_in_hits(hits, terms) for name, terms in _GROUPS.items()}
     email = F.contains(raw, F.lit("@")) & raw.rlike(M.pattern(R.EMAIL, True))
-    phone = digits & raw.rlike(M.pattern(R.PHONE))
+    phone = digits & raw.rlike(M.pattern(_PHONE_CORE))
     url = F.contains(low, F.lit("://")) & raw.rlike(M.pattern(R.URL, True))
     shortlink = M.any_in_hits(hits, _SHORTLINK_HOSTS) & raw.rlike(M.pattern(R.SHORTLINK, True))
-    promo = low.rlike(M.pattern(R.SMS_PROMO)) | (low.rlike(M.pattern(R.SMS_FREE)) & (url | shortlink))
+    promo = low.rlike(M.pattern(M.letters_first(R.SMS_PROMO))) | (
+        low.rlike(M.pattern(M.start_first(R.SMS_FREE))) & (url | shortlink))
     out |= {
         "email": email, "phone": phone, "url": url, "shortlink": shortlink,
         "keyword_hits": M.count_in_hits(hits, R.SCAM_KEYWORDS),
@@ -62,12 +79,13 @@ def _signals(raw: Column, low: Column, hits: Column, digits: Column) -> dict[str
             lambda a, b: a + b, [payment_term(t, low, hits).cast("int") for t in R.PAYMENT_TERMS]
         ),
         "pin": M.any_in_hits(hits, R.PIN_TERMS) | F.startswith(low, F.lit("pin")),
-        "phone_promo": phone & low.rlike(M.pattern(R.SMS_ACTION)) & promo,
-        "shortcode_promo": digits & low.rlike(M.pattern(R.SHORTCODE))
-        & low.rlike(M.pattern(R.SHORTCODE_ACTION)) & low.rlike(M.pattern(R.SHORTCODE_PROMO)),
+        "phone_promo": phone & low.rlike(M.pattern(M.letters_first(R.SMS_ACTION))) & promo,
+        "shortcode_promo": digits & low.rlike(M.pattern(r"(?=\d)" + R.SHORTCODE))
+        & low.rlike(M.pattern(M.letters_first(R.SHORTCODE_ACTION)))
+        & low.rlike(M.pattern(M.letters_first(R.SHORTCODE_PROMO))),
         "account_phish": M.any_in_hits(hits, _ACCOUNT_STARTS)
-        & low.rlike(M.pattern(R.ACCOUNT_PHRASE))
-        & (F.regexp_count(low, F.lit(M.pattern(R.ACCOUNT_CONTEXT))) >= 2),
+        & low.rlike(M.pattern(M.letters_first(R.ACCOUNT_PHRASE)))
+        & (F.regexp_count(low, F.lit(M.pattern(M.letters_first(R.ACCOUNT_CONTEXT)))) >= 2),
     }
     return out
 
@@ -116,9 +134,19 @@ def scan(df: DataFrame, content: str = "content") -> DataFrame:
     """
     if {"heuristic_score", "matched_terms"} <= set(df.columns):
         return df
+    return _scan(df, content).drop("_low", "_hits")
+
+
+def _with_hits(df: DataFrame, content: str) -> DataFrame:
+    """Adds the lower-cased text and the terms of scan and gates that occur in it: one pass finds both."""
+    staged = evaluate_once(df, {"_low": F.lower(F.coalesce(F.col(content), F.lit("")))})
+    return M.with_hit_list(staged, "_low", (*SCAN_TERMS, *_GATE_TERMS), "_hits")
+
+
+def _scan(df: DataFrame, content: str) -> DataFrame:
+    """``scan``, with the columns of ``_with_hits``."""
     raw = F.coalesce(F.col(content), F.lit(""))
-    staged = evaluate_once(df, {"_low": F.lower(raw)})
-    staged = M.with_hit_list(staged, "_low", SCAN_TERMS, "_hits")
+    staged = _with_hits(df, content)
     staged = evaluate_once(staged, {"_digits": F.col("_low").rlike(M.pattern(r"\d{3}"))})
     signals = _signals(raw, F.col("_low"), F.col("_hits"), F.col("_digits"))
     staged = evaluate_once(staged, {"_s": F.struct(*[v.alias(k) for k, v in signals.items()])})
@@ -136,18 +164,19 @@ def scan(df: DataFrame, content: str = "content") -> DataFrame:
     scored = evaluate_once(
         staged, {"heuristic_score": _score(s), "matched_terms": M.compact(shown)}
     )
-    return scored.drop("_low", "_hits", "_digits", "_s")
+    return scored.drop("_digits", "_s")
 
 
 def screen(df: DataFrame, content: str = "content") -> DataFrame:
     """All that the cascade reads from a text alone: ``scan``, the contact address and, where the text can
     escalate, what ``context_gates`` looks at. Rows that carry it need no text in the cascade."""
-    scanned = scan(df, content)
+    known = {"heuristic_score", "matched_terms"} <= set(df.columns)
+    scanned = _with_hits(df, content) if known else _scan(df, content)
     escalates = severity().isNotNull()
     return evaluate_once(scanned, {
         "detected_contact_email": text.contact_email(content),
-        **{name: F.when(escalates, found) for name, found in _gate_signals(content).items()},
-    })
+        **{name: F.when(escalates, found) for name, found in _gate_signals().items()},
+    }).drop("_low", "_hits")
 
 
 def has_shortlink(matched: str = "matched_terms") -> Column:
@@ -214,16 +243,22 @@ def candidates(df: DataFrame, staff: StaffPolicy = StaffPolicy(),
 _GATE_SIGNALS = ("_peer", "_signals", "_routing", "_aware")
 
 
-def _gate_signals(comment: str) -> dict[str, Column]:
-    low = F.lower(F.coalesce(F.col(comment), F.lit("")))
+def _gate_signals() -> dict[str, Column]:
+    """Of texts with the columns of ``_with_hits``. Nearly all patterns are ruled out by the terms that occur."""
+    low, hits = F.col("_low"), F.col("_hits")
+
+    def may(gate: str) -> Column:
+        return M.any_in_hits(hits, _GATE_WORDS[gate])
+
     signals = [
-        F.when(low.rlike("(?Ud)" + expr), F.lit(name)) for name, expr in R.BUSINESS_SIGNALS
+        F.when(may(name) & low.rlike("(?Ud)" + expr), F.lit(name)) for name, expr in R.BUSINESS_SIGNALS
     ]
     return dict(zip(_GATE_SIGNALS, (
-        M.any_pattern(low, R.PEER_SUPPORT) & ~M.any_term(low, R.PEER_BLOCKERS),
+        may("peer") & ~M.any_in_hits(hits, R.PEER_BLOCKERS) & M.any_pattern(low, R.PEER_SUPPORT, "i "),
         M.compact(signals),
-        M.any_term(low, R.BUSINESS_BLOCKERS),
-        M.any_pattern(low, R.AWARENESS_TALK) & ~M.any_term(low, R.AWARENESS_BLOCKERS),
+        M.any_in_hits(hits, R.BUSINESS_BLOCKERS),
+        may("awareness") & ~M.any_in_hits(hits, R.AWARENESS_BLOCKERS)
+        & M.any_pattern(low, [M.letters_first(talk) for talk in R.AWARENESS_TALK]),
     )))
 
 
@@ -235,7 +270,8 @@ def context_gates(df: DataFrame, comment: str = "comment") -> DataFrame:
     """
     age = F.coalesce("account_days_old", F.lit(365)) if "account_days_old" in df.columns else F.lit(365)
     posts = F.coalesce("user_post_count", F.lit(1)) if "user_post_count" in df.columns else F.lit(1)
-    staged = df if set(_GATE_SIGNALS) <= set(df.columns) else evaluate_once(df, _gate_signals(comment))
+    staged = df if set(_GATE_SIGNALS) <= set(df.columns) else evaluate_once(
+        _with_hits(df, comment), _gate_signals()).drop("_low", "_hits")
     business = (F.size("_signals") >= 3) & ~F.col("_routing")
     new_account = (age < 7) & (posts == 1)
     return staged.withColumns({
