@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hearthlight.labels import LABELS, NEGATIVE
 from hearthlight.operators import distress, fraud, texts
-from hearthlight.session import new_folder
+from hearthlight.session import cut_lineage, new_folder
 from hearthlight.sources import buckets
 
 STAFF_DOMAIN = "staff.example.org"
@@ -194,19 +194,25 @@ class Views:
         return self._interactions(self.table("events"))
 
     def interactions_of(self, ids: DataFrame) -> DataFrame:
-        """The interactions with these ids; others are left out before they get their text."""
-        return self._interactions(self.table("events").join(
-            ids.select(F.col("interaction_id").alias("event_id")), "event_id", "left_semi"))
-
-    def _interactions(self, events: DataFrame) -> DataFrame:
+        """The interactions with these ids; others are left out before they get their text. Columns that come with
+        the ids are kept; those rows are staged, so that Spark knows how many they are before a text moves."""
+        ids = ids.withColumnRenamed("interaction_id", "event_id")
+        carried = [c for c in ids.columns if c != "event_id"]
+        if not carried:
+            return self._interactions(self.table("events").join(ids, "event_id", "left_semi"))
+        needed = self.table("events").drop("props", "value").join(ids, "event_id")
+        return self._interactions(cut_lineage(needed), carried)
+
+    def _interactions(self, events: DataFrame, carried: list[str] | None = None) -> DataFrame:
         documents = self.table("documents").select("doc_id", "text", "source")
-        # Joined rows follow the splits of the texts: where splits are few (and one row group may be all of them), texts are dealt out.
-        cores = self.spark.sparkContext.defaultParallelism
-        if documents.rdd.getNumPartitions() <= cores:
-            documents = documents.repartition(cores, "doc_id")
         events = events.selectExpr("*", f"event_id % {documents.count()} AS doc")
+        if carried is None:
+            # Both sides are dealt out in some parts a core: the rules run where the join brings the texts.
+            cores = self.spark.sparkContext.defaultParallelism
+            parts = max(texts.PARTS * cores, documents.rdd.getNumPartitions())
+            documents, events = documents.repartition(parts, "doc_id"), events.repartition(parts, "doc")
         rows = events.alias("e").join(documents.alias("x"), F.col("x.doc_id") == F.col("e.doc"))
-        return rows.selectExpr(*[f"{expr} AS {n}" for n, expr in INTERACTION_COLUMNS.items()])
+        return rows.selectExpr(*[f"{expr} AS {n}" for n, expr in INTERACTION_COLUMNS.items()], *(carried or []))
 
     @cached_property
     def parted(self) -> texts.Apart:
