@@ -150,8 +150,7 @@ def _(v):
            f"(WHERE t_{x} < {t} AND {x} >= {t}) AS fp, count(*) FILTER (WHERE t_{x} >= {t} AND {x} < {t}) AS fn FROM mine"
            for x, t in ((x, f"{L.DEFAULT_THRESHOLDS[x]!r}::DOUBLE") for x in L.LABELS)), ("pool", "pairs"))
 def _(v):
-    pool = evaluation.evaluation_pool(v.interactions, 1000)
-    confusion = metrics.label_confusion(evaluation.score_pairs(pool, v.scores, taught(v)))
+    confusion = metrics.label_confusion(pairs(v, size=1000))
     return confusion.select(F.initcap("label").alias("emotion"), "tp", "fp", "fn")
 
 

@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from checks import rules_checks
 from checks.inputs import STAFF
 from checks.views import Views
-from hearthlight.operators import fraud, texts
+from hearthlight.operators import evaluation, fraud, texts
+from hearthlight.operators.sampling import uniform_sample
+from hearthlight.session import cut_lineage
 
 SMALL = "/root/testdata/sf0.001"
 WORDS = {"content", "text", "prompt", "chunk", "normalized_text", "cleaned", "comment"}
@@ -47,3 +50,23 @@ def test_ids_that_repeat_or_are_null_lose_no_text(spark):
     apart = texts.split(held, read=read)
     assert sorted(r.content or "" for r in apart.texts.collect()) == ["", "a", "b", "c"]
     assert apart.judged(lambda t: t.withColumn("n", F.length("content"))).count() == 5
+
+
+def test_pairs_go_on_without_their_texts(spark, monkeypatch):
+    seen, v = staged(monkeypatch, texts, evaluation, rules_checks), Views(spark, SMALL)
+    got = evaluation.disagreements(rules_checks.pairs(v, evaluation.with_preview))
+    assert not any(WORDS & set(columns) for columns in seen)
+    pool = evaluation.evaluation_pool(v.interactions)
+    want = evaluation.disagreements(evaluation.score_pairs(pool, v.scores, rules_checks.taught(v)))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_a_sampled_pool_draws_ids_and_brings_only_their_texts(spark, monkeypatch):
+    v = Views(spark, SMALL)
+    rows = v.interactions.select("interaction_id", "content")
+    whole = evaluation.evaluation_pool(rows)
+    want = uniform_sample(cut_lineage(whole), 20, "interaction_id").collect()
+    seen = staged(monkeypatch, evaluation)
+    got = evaluation.evaluation_pool(rows, 20)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
+    assert seen and not any(WORDS & set(columns) for columns in seen)
