@@ -279,7 +279,8 @@ def _(v):
 
 
 def training_rows(v):
-    return sampling.training_candidates(v.parted, v.scores, master_rows(v))
+    """Without texts, which neither masks nor draws read."""
+    return sampling.training_candidates(v.parted, v.scores, master_rows(v), words=False)
 
 
 def master_rows(v):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks import rules_checks
 from checks.inputs import STAFF
 from checks.views import Views
-from hearthlight.operators import evaluation, fraud, texts
+from hearthlight.operators import evaluation, fraud, sampling, texts
 from hearthlight.operators.sampling import uniform_sample
 from hearthlight.session import cut_lineage
 
@@ -70,3 +70,19 @@ def test_a_sampled_pool_draws_ids_and_brings_only_their_texts(spark, monkeypatch
     got = evaluation.evaluation_pool(rows, 20)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
     assert seen and not any(WORDS & set(columns) for columns in seen)
+
+
+def test_the_sampler_brings_texts_to_the_drawn_rows_only(spark, monkeypatch):
+    v = Views(spark, SMALL)
+    plain = sampling.training_candidates(v.interactions, v.scores, rules_checks.master_rows(v))
+    seen = staged(monkeypatch, texts, sampling)
+    slim = rules_checks.training_rows(v)
+    cells = [c for c in slim.columns if c != "text_key"]
+    assert not WORDS & set(cells) and set(plain.columns) == {*cells, "content", "normalized_text"}
+    assert sorted(map(repr, slim.select(cells).collect())) == sorted(map(repr, plain.select(cells).collect()))
+    drawn = sampling.draw_training_sample(v.parted, v.scores, 20, rules_checks.master_rows(v))
+    assert not any(WORDS & set(columns) for columns in seen)
+    kept = plain.join(drawn.select("interaction_id"), "interaction_id", "left_semi")
+    cells = ["interaction_id", "content", "normalized_text", "text_hash", "entropy"]
+    assert drawn.count() == 20
+    assert sorted(map(repr, drawn.select(cells).collect())) == sorted(map(repr, kept.select(cells).collect()))
