@@ -12,6 +12,7 @@ from hearthlight.functions import scores as S
 from hearthlight.functions.text import explode_chunks
 from hearthlight.labels import LABELS
 from hearthlight.operators.texts import KEY, Apart, split
+from hearthlight.session import cut_lineage
 from hearthlight.sources.ledger import Ledger
 
 Scorer = Callable[[list[str]], list[dict[str, float]]]
@@ -57,15 +58,23 @@ def score_with_memo(df: DataFrame | Apart, scorer: Scorer, ledger: Ledger, conte
     all. The ledger holds ``SCORES``; texts with failed chunks are sent again next time. Rows may come parted
     from their texts already."""
     apart = df if isinstance(df, Apart) else split(df.select(key, content), content, key)
-    asked = apart.texts.select(KEY, F.coalesce(apart.text, F.lit("")).alias("prompt"))
+    # A text's key is its hash, so what to ask is known without reading texts; null is asked as ''.
+    request = F.when(F.length(KEY) == 0, F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex(KEY))).alias("request")
+    asked = cut_lineage(apart.rows.select(KEY, request).groupBy("request").agg(F.max(KEY).alias(KEY)))  # of '' and null, ''
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        texts = apart.of(asked.join(wanted, "request", "left_semi"))
+        prompt = F.coalesce(apart.text, F.lit(""))
+        return texts.select(F.sha2(prompt, 256).alias("request"), prompt.alias("prompt"))
 
     def answer(requests: DataFrame) -> DataFrame:
         scored = score_texts(requests, scorer, "prompt", "request", batch)
         whole = F.struct(*LABELS, "failed_chunks")
         return scored.select("request", F.when(F.col("failed_chunks") == 0, whole).alias("answer"))
 
-    ledger.ask(asked, answer, slices)
-    rows = apart.rows.join(ledger.answers(asked), KEY)
+    ledger.ask(asked, answer, slices, fetch=fetch)
+    found = ledger.answers(asked.select("request"))
+    rows = apart.rows.select(key, request).join(found, "request")
     return rows.select(
         key, *[F.coalesce(F.col("answer")[label], F.lit(0.0)).alias(label) for label in LABELS],
         F.col("answer").isNull().alias("failed"))

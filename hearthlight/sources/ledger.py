@@ -38,35 +38,46 @@ class Ledger:
         return keep_first(self.table.rows(self.schema), ["request"], order)
 
     def pending(self, asked: DataFrame, attempts: int) -> DataFrame:
-        """request, prompt, attempt: distinct requests that are to go out."""
+        """request, attempt: distinct requests that are to go out."""
         done = self.states().select("request", "failed", F.col("attempt").alias("before"))
-        one = keep_first(asked.select("request", "prompt"), ["request"], ["request"])
-        return one.join(done, "request", "left").where(
+        return asked.select("request").distinct().join(done, "request", "left").where(
             F.col("failed").isNull() | (F.col("failed") & (F.col("before") < attempts))
-        ).select("request", "prompt", (F.coalesce("before", F.lit(0)) + 1).alias("attempt"))
+        ).select("request", (F.coalesce("before", F.lit(0)) + 1).alias("attempt"))
 
-    def ask(self, prompts: DataFrame, answer: Answer, slices: int = 16, attempts: int = 3) -> int:
+    def ask(self, prompts: DataFrame, answer: Answer, slices: int = 16, attempts: int = 3,
+            fetch: Answer | None = None) -> int:
         """Sends what is pending, slice by slice, and returns the number of requests sent.
 
-        ``prompts`` has a column ``prompt``; ``answer`` adds ``answer`` to request and prompt.
+        ``prompts`` has a column ``prompt``; ``answer`` adds ``answer`` to request and prompt. Hashes say what is pending;
+        only prompts that go out are staged. With ``fetch``, ``prompts`` has the hashes alone (``request``), and
+        ``fetch`` returns request and prompt for a frame of them.
         """
-        asked = cut_lineage(prompts.select(F.sha2("prompt", 256).alias("request"), "prompt").where("prompt is not null"))
-        pending = cut_lineage(self.pending(asked, attempts))
+        if fetch is None:
+            asked = prompts.select(F.sha2("prompt", 256).alias("request"), "prompt").where("prompt is not null")
+            fetch = lambda wanted: keep_first(
+                asked.join(wanted, "request", "left_semi"), ["request"], ["request"])
+            prompts = asked
+        pending = cut_lineage(self.pending(prompts, attempts))
+        if pending.isEmpty():
+            return 0
+        outbox = cut_lineage(fetch(pending.select("request")).select("request", "prompt"))
         run, sent = len(self.table.commits()), 0
         for part in range(slices):
-            mine = pending.where(F.conv(F.substring("request", 1, 4), 16, 10).cast("int") % slices == part)
+            share = F.conv(F.substring("request", 1, 4), 16, 10).cast("int") % slices == part
+            mine = pending.where(share)
             if mine.isEmpty():
                 continue
-            rows = cut_lineage(answer(mine.select("request", "prompt")).select("request", "answer").join(
-                mine.select("request", "attempt"), "request", "right"))
+            rows = cut_lineage(answer(outbox.where(share)).select("request", "answer").join(mine, "request", "right"))
             sent += rows.count()
             self.table.add(rows.select("request", "answer", self._failed().alias("failed"), "attempt"), f"{run}:{part}")
         return sent
 
     def answers(self, prompts: DataFrame, error: str = "ERROR: Timeout") -> DataFrame:
-        """The prompts' rows with ``answer``; text answers that are missing are an error text."""
+        """The prompts' rows with ``answer``; text answers that are missing are an error text. Rows may have
+        ``request`` instead of the prompt."""
         found = self.states().select(F.col("request").alias("_request"), "answer")
-        rows = prompts.withColumn("_request", F.sha2("prompt", 256)).join(found, "_request", "left").drop("_request")
+        asked = F.col("request") if "prompt" not in prompts.columns else F.sha2("prompt", 256)
+        rows = prompts.withColumn("_request", asked).join(found, "_request", "left").drop("_request")
         return rows.withColumn("answer", F.coalesce("answer", F.lit(error))) if self.kind == "string" else rows
 
     def compact(self) -> bool:

@@ -4,10 +4,13 @@ from pyspark.sql import functions as F
 
 from checks import rules_checks
 from checks.inputs import STAFF
+from checks.rules_checks import length_scorer
 from checks.views import Views
-from hearthlight.operators import evaluation, fraud, sampling, texts
+from hearthlight.operators import evaluation, fraud, sampling, scoring, texts
 from hearthlight.operators.sampling import uniform_sample
-from hearthlight.session import cut_lineage
+from hearthlight.session import cut_lineage, new_folder
+from hearthlight.sources import ledger as ledger_module
+from hearthlight.sources.ledger import Ledger
 
 SMALL = "/root/testdata/sf0.001"
 WORDS = {"content", "text", "prompt", "chunk", "normalized_text", "cleaned", "comment"}
@@ -86,3 +89,27 @@ def test_the_sampler_brings_texts_to_the_drawn_rows_only(spark, monkeypatch):
     cells = ["interaction_id", "content", "normalized_text", "text_hash", "entropy"]
     assert drawn.count() == 20
     assert sorted(map(repr, drawn.select(cells).collect())) == sorted(map(repr, kept.select(cells).collect()))
+
+
+def test_a_ledger_stages_only_what_goes_out(spark, monkeypatch):
+    seen, v = staged(monkeypatch, texts, scoring, ledger_module), Views(spark, SMALL)
+    ledger = Ledger(spark, new_folder(spark, "scores"), scoring.SCORES)
+    first = scoring.score_with_memo(v.parted.where("interaction_id % 2 = 0"), length_scorer, ledger, slices=1)
+    assert first.count() == v.parted.rows.where("interaction_id % 2 = 0").count()
+    assert [c for c in seen if WORDS & set(c)] == [["request", "prompt"]]
+    again = scoring.score_with_memo(v.parted.where("interaction_id % 4 = 0"), length_scorer, ledger, slices=1)
+    assert again.where("NOT failed").count() == again.count() > 0
+    assert [c for c in seen if WORDS & set(c)] == [["request", "prompt"]]  # nothing went out, nothing was staged
+
+
+def test_null_and_blank_texts_are_one_request(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (4, "a")], "interaction_id bigint, content string")
+    log = spark.sparkContext.accumulator(0)
+
+    def scorer(batch):
+        log.add(len(batch))
+        return length_scorer(batch)
+    ledger = Ledger(spark, new_folder(spark, "scores"), scoring.SCORES)
+    assert scoring.score_with_memo(rows, scorer, ledger, slices=1).count() == 4 and log.value == 2
+    only = rows.where("interaction_id = 1")
+    assert scoring.score_with_memo(only, scorer, Ledger(spark, new_folder(spark, "scores"), scoring.SCORES)).count() == 1
