@@ -132,7 +132,9 @@ class Master:
         if any(c.name == name for c in seen):
             return Appended(0, _total(seen), False)
         columns = self.schema.fieldNames()
-        batch = cut_lineage(batch)  # read for its keys, then for its rows
+        if all(isinstance(o, str) for o in order):
+            batch = batch.select(*dict.fromkeys([*columns, self.key, *order]))
+        batch = cut_lineage(batch)  # read for its keys, then for its rows; other columns, as texts, stay behind
         fresh = keep_first(self.unknown_rows(batch), [self.key], order).select(*columns)
         folder, added = self._write_rows(fresh)
         for _ in range(attempts):

@@ -2,14 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from checks import rules_checks
+from checks import relations, rules_checks
 from checks.inputs import STAFF
 from checks.rules_checks import length_scorer
 from checks.views import Views
-from hearthlight.operators import evaluation, fraud, sampling, scoring, texts
+from hearthlight import labels as L
+from hearthlight.functions import text as text_functions
+from hearthlight.operators import evaluation, fraud, sampling, scoring, texts, training
 from hearthlight.operators.sampling import uniform_sample
 from hearthlight.session import cut_lineage, new_folder
 from hearthlight.sources import ledger as ledger_module
+from hearthlight.sources import master as master_module
 from hearthlight.sources.ledger import Ledger
 
 SMALL = "/root/testdata/sf0.001"
@@ -113,3 +116,14 @@ def test_null_and_blank_texts_are_one_request(spark):
     assert scoring.score_with_memo(rows, scorer, ledger, slices=1).count() == 4 and log.value == 2
     only = rows.where("interaction_id = 1")
     assert scoring.score_with_memo(only, scorer, Ledger(spark, new_folder(spark, "scores"), scoring.SCORES)).count() == 1
+
+
+def test_texts_are_hashed_once_and_stay_out_of_the_master(spark, monkeypatch):
+    seen, v = staged(monkeypatch, texts, master_module), Views(spark, SMALL)
+    rows = relations.hashed(v)
+    assert "content" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    want = v.interactions.select("interaction_id", text_functions.text_hash("content").alias("text_hash"))
+    assert sorted(rows.collect()) == sorted(want.collect())
+    table = relations.stored_master(v)
+    assert table.rows().count() == rules_checks.master_rows(v).select("text_hash").distinct().count()
+    assert not any(WORDS & set(columns) for columns in seen)
