@@ -194,8 +194,8 @@ def _(v):
 SELECT row_no, h AS text_hash, {_NAMES} AS labels, 'external_exact' AS sampler_bucket,
   1.0::DOUBLE AS sample_weight FROM final""", ("interactions", "scores"))
 def _(v):
-    rows = v.interactions.join(v.scores, "interaction_id").select(
-        F.col("interaction_id").alias("row_no"), F.col("content").alias("text"),
+    rows = v.parted.judged(training.external_hash).join(v.scores, "interaction_id").select(
+        F.col("interaction_id").alias("row_no"), "text_hash",
         *[(F.col(x) >= 0.9).cast("int").alias(x) for x in L.LABELS])
     return training.exact_wide(rows).select(*EXACT_OUT)
 

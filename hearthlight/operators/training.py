@@ -65,9 +65,10 @@ def generation_stats(labelled: DataFrame) -> DataFrame:
 # --- external labelled data -----------------------------------------------------------------
 
 
-def external_rows(rows: DataFrame, content: Column, source: str, origin: str, confidence: Column,
+def external_rows(rows: DataFrame, content: Column | None, source: str, origin: str, confidence: Column,
                   weight: Column, external_label: Column) -> DataFrame:
-    """Master-shaped rows from external data that already holds the 28 label columns."""
+    """Master-shaped rows from external data that already holds the 28 label columns. Rows parted from their texts
+    have ``text_hash`` instead (see ``external_hash``)."""
     names = F.concat_ws(", ", *[F.when(F.col(e) > 0, F.lit(e)) for e in L.LABELS])
     blank = {
         "sampler_bucket": f"external_{origin}", "activity_type": "External",
@@ -78,16 +79,26 @@ def external_rows(rows: DataFrame, content: Column, source: str, origin: str, co
         "teacher_data_version": f"external_{origin}_v1", "teacher_default_threshold": 0.4,
         "source_dataset": source, "label_origin": origin,
     }
+    words = "text_hash" if content is None else text.clean_text(content).alias("text")
     return rows.select(
-        "row_no", text.clean_text(content).alias("text"), names.alias("labels"),
+        "row_no", words, names.alias("labels"),
         *[F.lit(v).alias(k) for k, v in blank.items()],
         confidence.alias("mapping_confidence"), weight.alias("sample_weight"),
         external_label.alias("external_label"), *L.LABELS,
     )
 
 
+def external_hash(texts: DataFrame, content: str = "content") -> DataFrame:
+    """``text_hash`` of each text as ``external_rows`` and ``finalize_external`` clean it; too short ones are left out."""
+    once = evaluate_once(texts, {"_clean": text.clean_text(content)})
+    cleaned = evaluate_once(once, {"_clean": text.clean_text("_clean")}).filter(F.length("_clean") >= 12)
+    return cleaned.withColumn("text_hash", text.text_hash("_clean")).drop("_clean")
+
+
 def finalize_external(rows: DataFrame) -> DataFrame:
     """Clean once more, keep texts of at least 12 characters, hash, drop later copies."""
+    if "text" not in rows.columns:
+        return keep_first_hash(rows, ["row_no"])
     cleaned = rows.withColumn("text", text.clean_text("text")).filter(F.length("text") >= 12)
     hashed = cleaned.withColumn("text_hash", text.text_hash("text"))
     return keep_first_hash(hashed, ["row_no"])
@@ -106,13 +117,15 @@ def labels_from_map(label: Column, mapping: Mapping[str, Mapping[str, float]]) -
 
 
 def exact_wide(rows: DataFrame, content: str = "text", source: str = "go_emotions") -> DataFrame:
-    """External rows that carry one column per label."""
+    """External rows that carry one column per label, and their text or its ``external_hash``."""
     wide = evaluate_once(rows, {
         e: F.coalesce(F.col(e).cast("double"), F.lit(0.0)) for e in L.LABELS
     })
-    cleaned = wide.filter((text.clean_text(content) != "") & (S.plain_sum(L.LABELS) > 0))
+    labelled = wide.filter(S.plain_sum(L.LABELS) > 0)
+    words = content in rows.columns
     return finalize_external(external_rows(
-        cleaned, F.col(content), source, "exact", F.lit("exact"), F.lit(1.0),
+        labelled.filter(text.clean_text(content) != "") if words else labelled,
+        F.col(content) if words else None, source, "exact", F.lit("exact"), F.lit(1.0),
         F.lit("multi_label_exact"),
     ))
 

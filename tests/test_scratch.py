@@ -127,3 +127,17 @@ def test_texts_are_hashed_once_and_stay_out_of_the_master(spark, monkeypatch):
     table = relations.stored_master(v)
     assert table.rows().count() == rules_checks.master_rows(v).select("text_hash").distinct().count()
     assert not any(WORDS & set(columns) for columns in seen)
+
+
+def test_external_rows_may_come_with_their_hash(spark):
+    v = Views(spark, SMALL)
+    labels = [(F.col(x) >= 0.9).cast("int").alias(x) for x in L.LABELS]
+    scored = v.interactions.join(v.scores, "interaction_id").select(
+        F.col("interaction_id").alias("row_no"), F.col("content").alias("text"), *labels)
+    short = spark.createDataFrame([(10**6, "too short"), (10**6 + 1, None), (10**6 + 2, " <b>  </b> ")], "row_no bigint, text string")
+    rows = scored.unionByName(short.select("*", *[F.lit(1).alias(x) for x in L.LABELS]))
+    hashed = training.external_hash(rows, "text").drop("text")
+    plain, slim = training.exact_wide(rows), training.exact_wide(hashed)
+    cells = [c for c in plain.columns if c != "text"]
+    assert sorted(cells) == sorted(slim.columns)
+    assert sorted(map(repr, slim.select(cells).collect())) == sorted(map(repr, plain.select(cells).collect()))
