@@ -65,7 +65,7 @@ SELECT interaction_id, activity_type, epoch_us(activity_date) AS activity_us,
   {O.clean('content')} AS content, community_name, commenter_name, commenter_email
 FROM both_kinds""", ("forum",))
 def _(v):
-    return ingest.weekly_interactions(v.forum, 2024, 3).withColumn(
+    return ingest.weekly_interactions(v.forum, 2024, 3, v.forum_of).withColumn(
         "activity_us", micros("activity_date")).drop("activity_date")
 
 
@@ -75,7 +75,7 @@ SELECT interaction_id, {O.clean('content')} AS content,
   CAST(date_diff('day', date_trunc('week', activity_date), DATE '2024-01-29') / 7 AS BIGINT)
     AS scam_scan_offset FROM both_kinds""", ("forum",))
 def _(v):
-    return ingest.interaction_window(v.forum, 2024, 5, 4).select(
+    return ingest.interaction_window(v.forum, 2024, 5, 4, v.forum_of).select(
         "interaction_id", "content", "scam_scan_week",
         F.col("scam_scan_offset").cast("bigint").alias("scam_scan_offset"))
 
@@ -86,7 +86,7 @@ SELECT {O.week_label('activity_date')} AS scam_scan_week, count(*) AS interactio
   CAST(sum(length({O.clean('content')})) AS BIGINT) AS chars FROM both_kinds GROUP BY 1""",
        ("forum",))
 def _(v):
-    return ingest.training_history(v.forum, 2024, 5, 12).groupBy("scam_scan_week").agg(
+    return ingest.training_history(v.forum, 2024, 5, 12, v.forum_of).groupBy("scam_scan_week").agg(
         F.count(F.lit(1)).alias("interactions"),
         F.count_if(F.col("activity_type") == "Comment").alias("comments"),
         F.sum(F.length("content")).alias("chars"))
@@ -98,9 +98,9 @@ SELECT interaction_id, {O.week_label('activity_date')} AS scam_scan_week, sha256
 FROM both_kinds""", ("forum",))
 def _(v):
     store, forum = WeekStore(v.spark, new_folder(v.spark, "weeks")), v.forum
-    store.refresh(forum.filter("interaction_id % 3 = 0"), 2024, 4, 6)  # rows that came early
-    store.refresh(forum, 2024, 4, 6)
-    store.catch_up(forum, 2024, 5, 12)
+    store.refresh(forum.filter("interaction_id % 3 = 0"), 2024, 4, 6, v.forum_of)  # rows that came early
+    store.refresh(forum, 2024, 4, 6, v.forum_of)
+    store.catch_up(forum, 2024, 5, 12, v.forum_of)
     return store.history(2024, 5, 12).select(
         "interaction_id", "scam_scan_week", F.sha2("content", 256).alias("content_sha"),
         F.col("scam_scan_offset").cast("bigint").alias("scam_scan_offset"))

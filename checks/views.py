@@ -234,6 +234,12 @@ class Views:
         return self.interactions.selectExpr(
             *[f"{expr} AS {n}" for n, expr in FORUM_COLUMNS.items()])
 
+    def forum_of(self, ids: DataFrame) -> DataFrame:
+        """The forum rows with these ids, and the columns that come with the ids."""
+        carried = [c for c in ids.columns if c != "interaction_id"]
+        return self.interactions_of(ids).selectExpr(
+            *[f"{expr} AS {n}" for n, expr in FORUM_COLUMNS.items()], *carried)
+
 
 class BucketedViews(Views):
     """The views that a cascade joins, stored in buckets by their key first; interactions as screened."""

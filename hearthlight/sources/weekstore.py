@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hearthlight import schema
 from hearthlight.functions import weeks
+from hearthlight.operators.texts import Read
 from hearthlight.sources.commits import Commit, FolderTable
 from hearthlight.sources.interactions import interaction_window
 
@@ -35,12 +36,14 @@ class WeekStore:
             out.update({w: f"{c.added[0]}/monday={w}" if w in filled else None for w in c.facts["weeks"]})
         return out
 
-    def refresh(self, raw: DataFrame, year: int, week: int, n: int = 1) -> None:
-        """Reads the week, and the ``n`` - 1 before it, from the raw table and replaces what is stored."""
+    def refresh(self, raw: DataFrame, year: int, week: int, n: int = 1, read: Read | None = None) -> None:
+        """Reads the week, and the ``n`` - 1 before it, from the raw table and replaces what is stored. For ``read``
+        see ``interaction_window``."""
         folder, mondays = self.table.new_folder("rows"), _mondays(year, week, n)
-        rows = interaction_window(raw, year, week, n).select(*schema.INTERACTIONS.fieldNames())
+        rows = interaction_window(raw, year, week, n, read).select(*schema.INTERACTIONS.fieldNames())
         path = f"{self.table.root}/{folder}"
-        rows.withColumn("monday", weeks.monday_of("activity_date").cast("string")).write.partitionBy("monday").parquet(path)
+        monday = weeks.monday_of("activity_date").cast("string")
+        rows.withColumn("monday", monday).write.partitionBy("monday").option("compression", "zstd").parquet(path)
         kept = rows.schema.add("monday", "string")
         stored = self.table.spark.read.schema(kept).parquet(path)
         filled = sorted(r.monday for r in stored.select("monday").distinct().collect())  # at most n
@@ -48,7 +51,7 @@ class WeekStore:
         while not self.table.commit(len(self.table.commits()), Commit(f"{year}-{week}-{n}", (folder,), (), facts)):
             pass
 
-    def catch_up(self, raw: DataFrame, year: int, week: int, n: int) -> list[str]:
+    def catch_up(self, raw: DataFrame, year: int, week: int, n: int, read: Read | None = None) -> list[str]:
         """Reads the newest week, and all others of ``n`` that are not stored yet. Returns them."""
         have, wanted = self._folders(), _mondays(year, week, n)
         missing = [m for m in wanted if m not in have or m == wanted[-1]]
@@ -60,7 +63,7 @@ class WeekStore:
                 runs.append([monday])
         for run in runs:
             year, week, _ = run[-1].isocalendar()
-            self.refresh(raw, year, week, len(run))
+            self.refresh(raw, year, week, len(run), read)
         return missing
 
     def history(self, year: int, week: int, n: int) -> DataFrame:

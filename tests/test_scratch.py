@@ -1,5 +1,7 @@
 """Texts take no disk but that of the joins that bring them: stages hold rows without texts."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from checks import relations, rules_checks
@@ -11,6 +13,7 @@ from hearthlight.functions import text as text_functions
 from hearthlight.operators import evaluation, fraud, sampling, scoring, texts, training
 from hearthlight.operators.sampling import uniform_sample
 from hearthlight.session import cut_lineage, new_folder
+from hearthlight.sources import interactions as ingest
 from hearthlight.sources import ledger as ledger_module
 from hearthlight.sources import master as master_module
 from hearthlight.sources.ledger import Ledger
@@ -141,3 +144,33 @@ def test_external_rows_may_come_with_their_hash(spark):
     cells = [c for c in plain.columns if c != "text"]
     assert sorted(cells) == sorted(slim.columns)
     assert sorted(map(repr, slim.select(cells).collect())) == sorted(map(repr, plain.select(cells).collect()))
+
+
+def test_a_window_reads_texts_where_the_join_brings_them(spark, monkeypatch):
+    v = Views(spark, SMALL)
+    plain = ingest.interaction_window(v.forum, 2024, 5, 4)
+    want = sorted(map(repr, plain.collect()))
+    seen = staged(monkeypatch, ingest)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ingest.interaction_window(v.forum, 2024, 5, 4, v.forum_of)
+        # Texts come by their documents, and do not move once more by the ids of rows that stay.
+        assert "forum_content" not in str([c for c in seen]) and not any(WORDS & set(c) for c in seen)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "hashpartitioning(interaction_id" in line]
+        assert sorted(map(repr, got.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_without_an_id_and_rows_that_are_post_and_comment(spark):
+    at = dt.datetime(2024, 1, 30)
+    raw = spark.createDataFrame([
+        (1, "t", "post", at, 5, "said", at), (2, "t", "post", at, 5, "later", at + dt.timedelta(hours=1)),
+        (3, None, None, at, None, "no discussion", at), (4, "t", "old", dt.datetime(2023, 1, 1), 6, "new", at),
+        (5, "t", "new", at, 7, "  ", at), (6, "t", "other", at, 8, "old", dt.datetime(2023, 1, 1))],
+        "interaction_id bigint, forum_title string, forum_content string, forum_created_at timestamp, discussion_id bigint, "
+        "discussion_content string, discussion_created_at timestamp").selectExpr(
+        "*", "'c' AS community_name", "'n' AS commenter_name", "'e' AS commenter_email")
+    got = ingest.interaction_window(raw, 2024, 5, 1).select("interaction_id", "content").collect()
+    assert sorted(map(tuple, got)) == [(2, "t - post"), (5, "later"), (9, "new"), (10, "t - new"), (12, "t - other")]
